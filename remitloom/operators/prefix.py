@@ -67,7 +67,10 @@ def running_total(df: DataFrame, groups: list[str], order: list[Column], weight:
     before = F.sum("_sum").over(Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
     if not groups:  # one row per task: the only unpartitioned window, bounded by the number of tasks
         parts = parts.coalesce(1)
-    offsets = parts.select("_pid", *groups, F.coalesce(before, F.lit(0)).alias("_before")).filter("_before > 0")
-    match = [local["_pid"] == offsets["_pid"]] + [local[g].eqNullSafe(offsets[g]) for g in groups]
-    joined = local.join(offsets, match, "left")
-    return joined.select(*[local[c] for c in df.columns], (local[out] + F.coalesce(offsets["_before"], F.lit(0))).alias(out))
+    names = {g: f"_of_{i}" for i, g in enumerate(groups)}
+    offsets = parts.select(F.col("_pid").alias("_of_pid"), *[F.col(g).alias(n) for g, n in names.items()], F.coalesce(before, F.lit(0)).alias("_before"))
+    match = F.col("_pid") == F.col("_of_pid")
+    for g, n in names.items():
+        match = match & F.col(g).eqNullSafe(F.col(n))
+    joined = local.join(offsets.filter("_before > 0"), match, "left")
+    return joined.select(*df.columns, (F.col(out) + F.coalesce("_before", F.lit(0))).alias(out))

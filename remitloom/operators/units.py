@@ -68,6 +68,7 @@ GRAM = 3
 FUZZY_SHARE, FUZZY_FROM = 0.18, 6
 LONGEST_PHRASE = 4
 _KILO_MARK = "kilomark"
+_THOUSANDS_MARK = r"(?i)['’]\s?000s?\b|\(\s?000s?\s?\)|\b[x×]\s?1[.,]?000\b"
 
 
 def fold(text: str) -> str:
@@ -99,7 +100,7 @@ def lexicon() -> list[tuple[str, str | None, int | None]]:
 
 def spelled(text: Column) -> Column:
     """The text with its figures replaced by ``#``, except figures that mark thousands; one blank between parts."""
-    marked = F.regexp_replace(text, r"(?i)['’]\s?000s?\b|\(\s?000s?\s?\)|\b[x×]\s?1[.,]?000\b", f" {_KILO_MARK} ")
+    marked = F.regexp_replace(text, _THOUSANDS_MARK, f" {_KILO_MARK} ")
     return X.strip(F.regexp_replace(F.regexp_replace(marked, r"[0-9]+(?:[.,'’][0-9]+)*", " # "), r"\s+", " "))
 
 
@@ -165,14 +166,14 @@ def _edit_cost(phrase: pd.Series, alias: pd.Series) -> pd.Series:
 
 
 def phrase_aliases(phrases: DataFrame) -> DataFrame:
-    """(phrase, currency, power) of the distinct phrases that are an alias, exactly or nearly.
+    """(phrase, currency, power, exact) of the distinct phrases that are an alias, exactly or nearly.
 
     Candidates share enough n-grams with the alias to be within the distance; the verification takes the alias with
     the least cost, of several the shortest, then the first by name.
     """
     spark = phrases.sparkSession
     words = spark.createDataFrame(lexicon(), "alias string, currency string, power int").withColumn("fuzzy", F.length("alias") >= FUZZY_FROM)
-    exact = phrases.join(F.broadcast(words), phrases["phrase"] == words["alias"]).select("phrase", "currency", "power")  # the lexicon has a fixed size
+    exact = phrases.join(F.broadcast(words), phrases["phrase"] == words["alias"]).select("phrase", "currency", "power", F.lit(True).alias("exact"))  # the lexicon has a fixed size
     index = words.filter("fuzzy").select("alias", "currency", "power", F.explode(_grams(F.col("alias"))).alias("gram"), F.size(_grams(F.col("alias"))).alias("grams"))
     others = phrases.filter(F.length("phrase") >= FUZZY_FROM - 1).join(exact.select("phrase"), "phrase", "left_anti")
     grams = others.select("phrase", F.explode(_grams(F.col("phrase"))).alias("gram"))
@@ -182,17 +183,21 @@ def phrase_aliases(phrases: DataFrame) -> DataFrame:
     near = shared.filter((F.col("shared") >= F.greatest(F.lit(1), F.col("grams") - edits * GRAM)) & (F.abs(F.length("phrase") - F.length("alias")) <= edits))
     costed = near.withColumn("cost", _edit_cost("phrase", "alias")).filter(F.col("cost") <= F.length("alias") * FUZZY_SHARE)
     best = costed.groupBy("phrase").agg(F.min(F.struct("cost", F.length("alias").alias("n"), "alias", "currency", "power")).alias("b"))
-    return exact.unionByName(best.select("phrase", "b.currency", "b.power"))
+    return exact.unionByName(best.select("phrase", "b.currency", "b.power", F.lit(False).alias("exact")))
 
 
 def _resolve(field: str, spelling: str, mentions: list[tuple]) -> tuple[str | None, int | None]:
-    """Currency and power of ten that one spelling states: longest phrases first, then the first of each kind."""
+    """Currency and power of ten that one spelling states: the first of each kind.
+
+    Exact phrases claim their words before near ones do, longer ones before shorter ones: "k us dollar" is not a
+    misspelt "us dollar".
+    """
     if field == "note" and MENTIONS_ONLY.search(spelling):
         return None, None
     words = spelling.split()
     taken: set[int] = set()
     kept = []
-    for at, size, phrase, lead, currency, power in sorted(mentions, key=lambda m: (-m[1], m[0])):
+    for at, size, phrase, lead, currency, power, _ in sorted(mentions, key=lambda m: (not m[6], -m[1], m[0])):
         if taken & set(range(at, at + size)):
             continue
         if len(phrase) <= 2 and phrase in ("k", "m", "mm", "sr", "rs", "fr"):
@@ -213,7 +218,7 @@ def _resolve_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for field, spelling, mentions in zip(batch["field"], batch["spelling"], batch["mentions"]):
-            found = [(m["at"], m["words"], m["phrase"], m["lead"], m["currency"], None if pd.isna(m["power"]) else int(m["power"])) for m in mentions]
+            found = [(m["at"], m["words"], m["phrase"], m["lead"], m["currency"], None if pd.isna(m["power"]) else int(m["power"]), m["exact"]) for m in mentions]
             rows.append((field, spelling, *_resolve(field, spelling, found)))
         out = pd.DataFrame(rows, columns=["field", "spelling", "currency", "power"])
         out["power"] = out["power"].astype("Int32")
@@ -224,7 +229,7 @@ def alias_dictionary(spellings: DataFrame) -> DataFrame:
     """(field, spelling, currency, power) for distinct (field, spelling); spellings that state nothing are absent."""
     cut = spellings.mapInPandas(_phrases, "field string, spelling string, at int, words int, phrase string, lead string")
     aliases = phrase_aliases(cut.select("phrase").distinct())
-    mentions = cut.join(aliases, "phrase").groupBy("field", "spelling").agg(F.collect_list(F.struct("at", "words", "phrase", "lead", "currency", "power")).alias("mentions"))
+    mentions = cut.join(aliases, "phrase").groupBy("field", "spelling").agg(F.collect_list(F.struct("at", "words", "phrase", "lead", "currency", "power", "exact")).alias("mentions"))
     stated = mentions.mapInPandas(_resolve_groups, "field string, spelling string, currency string, power int")
     return stated.filter(F.col("currency").isNotNull() | F.col("power").isNotNull())
 
@@ -232,30 +237,34 @@ def alias_dictionary(spellings: DataFrame) -> DataFrame:
 _FIGURE = r"[0-9]+(?:[.,'’][0-9]+)*|[.,][0-9]+"
 
 
-def figure(text: Column, decimal_comma: Column) -> Column:
-    """The first figure of a text in plain form ("1234.5", with ``-`` in front if marked negative), else NULL.
+_NEGATIVE = r"[-−–]\s*(?:[^\s0-9]{1,4}\s?)?[0-9.,]*[0-9]|[0-9]\s?[-−–]\s*(?:\D*)$|^\s*\(\D*[0-9][0-9.,'’]*\D*\)\s*$"
+
 
-    With both separators the last one starts the decimals. A single separator that occurs once starts the decimals,
-    unless it is the grouping sign of the feed's style and three digits follow it. Negative: a minus before the figure or right
-    behind it, or round brackets about all of it.
+def with_figure(df: DataFrame, text: str, decimal_comma: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the first figure of ``text`` in plain form ("1234.5", ``-`` in front if marked negative), else NULL.
+
+    With both separators the last one starts the decimals. A separator that occurs once starts the decimals, unless it
+    is the grouping sign of the feed's style (``decimal_comma``) and sets off groups of three digits. Negative: a minus
+    before the figure or right behind it, or round brackets about all of it. The steps are columns of their own, so each
+    is computed once.
     """
-    marked = F.regexp_replace(text, r"(?i)['’]\s?000s?\b|\(\s?000s?\s?\)|\b[x×]\s?1[.,]?000\b", " ")
-    raw = F.regexp_extract(marked, _FIGURE, 0)
-    raw = F.regexp_replace(raw, "['’]", "")
-    dots, commas = F.length(raw) - F.length(F.replace(raw, F.lit("."))), F.length(raw) - F.length(F.replace(raw, F.lit(",")))
-    no_commas, no_dots = F.replace(raw, F.lit(",")), F.replace(raw, F.lit("."))
+    df = df.withColumn("_raw", F.regexp_replace(F.regexp_extract(F.regexp_replace(text, _THOUSANDS_MARK, " "), _FIGURE, 0), "['’]", ""))
+    raw = F.col("_raw")
+    df = df.withColumns({"_no_commas": F.replace(raw, F.lit(","), F.lit("")), "_no_dots": F.replace(raw, F.lit("."), F.lit(""))})
+    no_commas, no_dots = F.col("_no_commas"), F.col("_no_dots")
+    dots, commas = F.length(raw) - F.length(no_dots), F.length(raw) - F.length(no_commas)
     comma_decimal = F.replace(no_dots, F.lit(","), F.lit("."))
-    grouped_comma, grouped_dot = raw.rlike(r"^[0-9]{1,3}(,[0-9]{3})+$"), raw.rlike(r"^[0-9]{1,3}(\.[0-9]{3})+$")
     plain = (
-        F.when((dots > 0) & (commas > 0), F.when(F.instr(F.reverse(raw), ",") < F.instr(F.reverse(raw), "."), comma_decimal).otherwise(no_commas))
+        F.when((dots > 0) & (commas > 0), F.when(raw.rlike(r",[^.]*$"), comma_decimal).otherwise(no_commas))
         .when(commas > 1, no_commas)
         .when(dots > 1, no_dots)
-        .when(commas == 1, F.when(~decimal_comma & grouped_comma, no_commas).otherwise(comma_decimal))
-        .when(dots == 1, F.when(decimal_comma & grouped_dot, no_dots).otherwise(raw))
+        .when(commas == 1, F.when(~F.col(decimal_comma) & raw.rlike(r"^[0-9]{1,3},[0-9]{3}$"), no_commas).otherwise(comma_decimal))
+        .when(dots == 1, F.when(F.col(decimal_comma) & raw.rlike(r"^[0-9]{1,3}[.][0-9]{3}$"), no_dots).otherwise(raw))
         .otherwise(raw)
     )
-    negative = text.rlike(r"[-−–]\s*(?:[^\s0-9]{1,4}\s?)?[0-9.,]*[0-9]|[0-9]\s?[-−–]\s*(?:\D*)$|^\s*\(\D*[0-9][0-9.,'’]*\D*\)\s*$")
-    return F.when(raw != "", F.when(negative, F.concat(F.lit("-"), plain)).otherwise(plain))
+    df = df.withColumn("_plain", plain)
+    signed = F.when(F.col(text).rlike(_NEGATIVE), F.concat(F.lit("-"), F.col("_plain"))).otherwise(F.col("_plain"))
+    return df.withColumn(out, F.when(raw != "", signed)).drop("_raw", "_no_commas", "_no_dots", "_plain")
 
 
 def utc_day(ts: Column) -> Column:
@@ -310,15 +319,15 @@ def to_common_units(raw: DataFrame, profiles: DataFrame, rates: DataFrame) -> Da
     for f in ("amount", "currency", "note"):
         own = words.filter(F.col("field") == f).select(F.col("spelling").alias(f), F.col("currency").alias(f"{f}_currency"), F.col("power").alias(f"{f}_power"))
         rows = rows.join(broadcast_if_small(own), f, "left")
-    rows = rows.join(broadcast_if_small(feeds), "feed", "left")
+    rows = rows.join(broadcast_if_small(feeds), "feed", "left").withColumn("comma", F.coalesce("comma", F.lit(False)))
     order = ("amount", "currency", "note", "profile")
-    rows = rows.select(
+    rows = with_figure(rows, "amount_paid", "comma", "figure").select(
         "raw_id",
         utc_day(F.col("ts")).alias("day"),
-        figure(F.col("amount_paid"), F.coalesce("comma", F.lit(False))).alias("figure"),
+        "figure",
         F.coalesce(*[f"{f}_currency" for f in order]).alias("currency"),
         F.coalesce(*[F.col(f"{f}_power") for f in order], F.lit(0)).alias("power"),
-    ).filter(F.col("figure").isNotNull() & F.col("currency").isNotNull())
+    )
     dated = rates.groupBy(F.col("currency").alias("currency"), F.col("rate_day").try_cast("date").alias("day")).agg(F.max("rate").alias("rate"))
     rows = rows.join(broadcast_if_small(dated), ["currency", "day"], "left")
     rate = F.when(F.col("currency") == "US Dollar", F.lit(1).cast("decimal(14,6)")).otherwise(F.col("rate").cast("decimal(14,6)"))
