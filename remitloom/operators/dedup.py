@@ -19,7 +19,7 @@ from remitloom.sources.shared import delete
 
 _DICTIONARY = "ident string, shard int, code bigint, row_id bigint"
 _BITMAPS = "shard int, bucket bigint, bits binary"
-BITS = 32768
+_KEPT = "row_id bigint, shard int, code bigint"
 
 
 def drop_repeats(df: DataFrame, id_column: str, *scope: str) -> DataFrame:
@@ -75,7 +75,7 @@ class SeenStore:
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def commits(self) -> dict[int, str]:
-        """Version -> name of its folders."""
+        """Version -> name of its folders, a blank, and the batch's name."""
         root = self._path(f"{self.folder}/commits")
         if not self._fs.exists(root):
             return {}
@@ -89,7 +89,7 @@ class SeenStore:
 
     def dictionary(self) -> DataFrame:
         """(ident, shard, code, row_id): row_id is the arrival that was kept."""
-        paths = [f"{self.folder}/dictionary/{token}" for token in self.commits().values()]
+        paths = [self._folder("dictionary", c) for c in self.commits().values()]
         return self.spark.read.schema(_DICTIONARY).parquet(*paths) if paths else self.spark.createDataFrame([], _DICTIONARY)
 
     def bitmaps(self) -> DataFrame:
@@ -97,17 +97,21 @@ class SeenStore:
         done = list(self.commits().values())
         if not done:
             return self.spark.createDataFrame([], _BITMAPS)
-        return self.spark.read.schema(_BITMAPS).parquet(f"{self.folder}/bitmaps/{done[-1]}").withColumn("bits", _unpack("bits"))
+        return self.spark.read.schema(_BITMAPS).parquet(self._folder("bitmaps", done[-1])).withColumn("bits", _unpack("bits"))
 
-    def ingest(self, arrivals: DataFrame) -> DataFrame:
+    def ingest(self, arrivals: DataFrame, batch: str = "") -> DataFrame:
         """Takes in one batch (row_id bigint, ident string, at timestamp); returns (row_id) of the copies it keeps.
 
         ``row_id`` must be unique in the batch. Of each identity whose bit is not set the arrival with the earliest
         ``at`` is kept, then the smallest ``row_id``; a NULL ``at`` comes last. Identities that were seen in an earlier
         batch keep nothing. Rows without an identity are not messages and don't come back. The batch's new bits are
-        committed before the result is returned, so a batch that is ingested again keeps nothing.
+        committed before the result is returned. A batch with a name that is ingested again gets the answer of the first
+        time; without a name its copies count as repeats.
         """
         before = self.commits()
+        for done in before.values():
+            if batch and done.partition(" ")[2] == batch:
+                return self.spark.read.schema(_KEPT).parquet(self._folder("kept", done)).select("row_id")
         version, token = max(before, default=-1) + 1, uuid.uuid4().hex
         order = F.struct(F.col("at").isNull().alias("late"), F.col("at"), F.col("row_id").alias("id"))
         first = arrivals.filter(F.col("ident").isNotNull()).groupBy("ident").agg(F.min(order).alias("first"))
@@ -129,11 +133,14 @@ class SeenStore:
         kept = new.select("row_id", "shard", "code")
         if unseen is not None:
             kept = kept.unionByName(unseen.select("row_id", "shard", "code"))
+        if batch or unseen is not None:
+            kept.write.mode("overwrite").parquet(f"{self.folder}/kept/{token}")
+            kept = self.spark.read.schema(_KEPT).parquet(f"{self.folder}/kept/{token}")
         bits = kept.groupBy("shard", F.expr("bitmap_bucket_number(code)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(code))").alias("bits"))
         if before:
             bits = bits.unionByName(self.bitmaps()).groupBy("shard", "bucket").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
         bits.withColumn("bits", _pack("bits")).write.mode("overwrite").parquet(f"{self.folder}/bitmaps/{token}")
-        self._commit(version, token)
+        self._commit(version, f"{token} {batch}")
         return kept.select("row_id")
 
     def _unseen(self, encoded: DataFrame) -> DataFrame:
@@ -145,11 +152,14 @@ class SeenStore:
         is_set = F.getbit(byte, (at % 8).cast("int")) == 1
         return joined.filter(F.col("bits").isNull() | ~is_set)
 
-    def _commit(self, version: int, token: str) -> None:
+    def _folder(self, kind: str, commit: str) -> str:
+        return f"{self.folder}/{kind}/{commit.partition(' ')[0]}"
+
+    def _commit(self, version: int, commit: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        staged, final = self._path(f"{self.folder}/staged/{token}"), self._path(f"{self.folder}/commits/{version}")
+        staged, final = self._path(self._folder("staged", commit)), self._path(f"{self.folder}/commits/{version}")
         stream = self._fs.create(staged, False)
-        stream.writeBytes(token)
+        stream.write(bytearray(commit.encode()))
         stream.close()
         self._fs.mkdirs(self._path(f"{self.folder}/commits"))
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -157,9 +167,8 @@ class SeenStore:
         try:
             context.rename(staged, final, no_overwrite)
         except Exception as error:
-            for kind in ("dictionary", "bitmaps"):
-                delete(self.spark, f"{self.folder}/{kind}/{token}")
-            delete(self.spark, f"{self.folder}/staged/{token}")
+            for kind in ("dictionary", "bitmaps", "kept", "staged"):
+                delete(self.spark, self._folder(kind, commit))
             raise RuntimeError(f"version {version} was committed by another writer") from error
 
 

@@ -64,8 +64,9 @@ _DECIMAL_COMMA = re.compile(r"comma\s+(?:before|as|for|marks?)\s+(?:the\s+)?deci
 
 GRAM = 3
 #: Most edit cost, as a share of the alias's length, at which a phrase still is that alias; aliases shorter than
-#: FUZZY_FROM must be met exactly (after folding letter case and accents).
-FUZZY_SHARE, FUZZY_FROM = 0.18, 6
+#: FUZZY_FROM must be met exactly (after folding letter case and accents), and in running text so must phrases shorter than
+#: FUZZY_TEXT_FROM.
+FUZZY_SHARE, FUZZY_FROM, FUZZY_TEXT_FROM = 0.18, 4, 6
 LONGEST_PHRASE = 4
 _KILO_MARK = "kilomark"
 _THOUSANDS_MARK = r"(?i)['’]\s?000s?\b|\(\s?000s?\s?\)|\b[x×]\s?1[.,]?000\b"
@@ -197,8 +198,8 @@ def _resolve(field: str, spelling: str, mentions: list[tuple]) -> tuple[str | No
     words = spelling.split()
     taken: set[int] = set()
     kept = []
-    for at, size, phrase, lead, currency, power, _ in sorted(mentions, key=lambda m: (not m[6], -m[1], m[0])):
-        if taken & set(range(at, at + size)):
+    for at, size, phrase, lead, currency, power, exact in sorted(mentions, key=lambda m: (not m[6], -m[1], m[0])):
+        if taken & set(range(at, at + size)) or not exact and field in ("note", "profile") and len(phrase) < FUZZY_TEXT_FROM:
             continue
         if len(phrase) <= 2 and phrase in ("k", "m", "mm", "sr", "rs", "fr"):
             beside = at > 0 and words[at - 1].endswith("#") or at + size < len(words) and words[at + size].startswith("#")

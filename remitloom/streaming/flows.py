@@ -60,12 +60,11 @@ def run_available(stream: DataFrame, mode: str = "append", checkpoint: str | Non
 def ingest_batches(stream: DataFrame, store, checkpoint: str, out: str):
     """Feeds (row_id, ident, at) micro-batches to a seen store and appends the kept row ids under ``out``.
 
-    Each batch's rows go to ``out/batch=<id>``, overwritten if the batch is run again; its bits are then committed
-    already, so what it kept is read from the dictionary's last version instead of being selected anew.
+    Each batch goes to ``out/batch=<id>`` and is named to the store by its id: a batch that is run again after a
+    failure gets the answer it got the first time and overwrites its folder, so every message comes out exactly once.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        kept = store.ingest(batch)
-        kept.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        store.ingest(batch, f"batch-{batch_id}").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
