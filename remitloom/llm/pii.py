@@ -242,7 +242,7 @@ class _Names:
             else:
                 return start
 
-    def right(self, end: int) -> int:
+    def right(self, end: int, bare: bool) -> int:
         while True:
             m = _RIGHT.match(self.text, end)
             if m and (m.start(2), m.end(2)) in self.family:
@@ -250,11 +250,18 @@ class _Names:
                 continue
             if m and m.group(1) != "-" and (_INITIAL.match(m.group(2)) and (not self.mixed or m.group(2)[0].isupper()) and self.low[m.start(2)] not in "yeo"):
                 return m.end()
-            n = _COMMA_RIGHT.match(self.text, end)
+            n = _COMMA_RIGHT.match(self.text, end) if bare else None
             if n and ((n.start(1), n.end(1)) in self.given or _INITIAL.match(n.group(1)) or self.mixed and self.unknown_given(n.start(1), n.end(1)) and _SPOKEN.match(self.low[n.start(1) : n.end(1)])):
-                return n.end()
+                return end if self.begins_a_name(n.end()) else n.end()
             return end
 
+    def begins_a_name(self, end: int) -> bool:
+        """Whether a family name, or an initial and one, stands right behind: then what ends here is another person's given name."""
+        m = _RIGHT.match(self.text, end)
+        if m and _INITIAL.match(m.group(2)):
+            m = _RIGHT.match(self.text, m.end())
+        return bool(m) and (m.start(2), m.end(2)) in self.family
+
     def organisation_after(self, end: int) -> bool:
         m = _RIGHT.match(self.text, end)
         return bool(m) and self.low[m.start(2) : m.end(2)].rstrip(".") in L.ORGANISATION
@@ -269,7 +276,8 @@ class _Names:
             if self.text[start - 1 : start] in ("@", "+", ".") and start or self.text[end : end + 1] in ("@", "+") or re.match(r"\.\w", self.text[end : end + 2]):
                 continue
             if (start, end) in self.family:
-                a, b = self.left(start, end), self.right(end)
+                a = self.left(start, end)
+                b = self.right(end, a == start)
                 before = _LEFT.search(self.text, max(0, a - 32), a)
                 if before and self.low[before.start(1) : before.end(1)] in L.STREET_HONOURS and self.low[before.start(1) : before.end(1)] not in L.TITLES:
                     continue
