@@ -46,6 +46,10 @@ STREETS_BEFORE = "calle c/ av avda avenida bv bvar bulevar camino cno pasaje pje
 #: Of these, the ones that need a full stop.
 STREETS_WITH_DOT = {"r", "trav", "tv", "lgo"}
 
+#: Words that stand before "at" without being part of an address, and the last parts of domains after which it may be one.
+BEFORE_AT = set("look looked arrive arrived arrives is was are were be been held back up down stay stays stayed meet met work works see seen page pages site online posted published available".split())
+TOP_DOMAINS = set("com org net edu gov info biz io example test invalid localhost es pt br mx ar cl co pe uy uk us ca au de fr it ch eu".split())
+
 ID_LABELS = """dni|d.n.i|d.n.i.|documento|documento nacional|documento de identidad|documento de identidade|cuit|cuil|nie|pasaporte|passport|passaporte|ssn|social security
 social security number|tax id|tax identification number|tin|itin|ni number|nino|national insurance|national insurance number|id card|identity card|identity number
 national id|nif|contribuinte|número de contribuinte|bilhete de identidade|cartão de cidadão|cartão de identidade|rg|cpf|bi|cédula|cédula de identidad|curp|rfc|rut
@@ -63,7 +67,7 @@ on behalf of|attn|attention|dear|estimado|estimada|caro|cara""".replace("\n", "|
 
 #: Words that stand before a family name, or with a capital at the start of a sentence, without being a given name.
 NOT_GIVEN = set(
-    """a ao as at aviso and an account agent alert amount after against as ask address balance batch beneficiary beneficiario beneficiário bank by call caller card cc chamado client
+    """ser nombre nome firma parece cliente cuenta conta banco sobre hable falou saber favor a ao as at aviso and an account agent alert amount after against as ask address balance batch beneficiary beneficiario beneficiário bank by call caller card cc chamado client
 contact con com cuenta da das de del do dos dear domicilio depois desde después during el em en entre enviar for forwarded fax from firma falei hablé handle he holder
 il in is it items ir juan kind la las le los line login llamar ligar mobile morada mr neither next no nor not nobody o of on or os para payee pago pagamento pay phone por que reads reply
 regards responder said saludos says se segundo según she since so spoke tel telefone teléfono text than that the then this titular to transfer two un una under use varios we with without

@@ -111,7 +111,9 @@ def _emails(text: str, anchors: list[tuple[int, int, str]]) -> Iterator[tuple[in
         if not domain:
             continue
         if word == " at " and not re.search(r"[\d._+-]", local.group()):
-            continue  # "look at this.example"
+            # "look at this.example"
+            if local.group().lower() in L.BEFORE_AT or domain.group().lower().rpartition(".")[2] not in L.TOP_DOMAINS or domain.group()[-1].islower() and "." in domain.group() and domain.group().rpartition(".")[2][:1].isupper():
+                continue
         last = domain.end()
         yield local.start(), last
 
@@ -217,6 +219,9 @@ class _Names:
             return shape and not self.text[start:end].endswith(".")
         return bool(_SPOKEN.match(word))
 
+    def is_family(self, start: int, end: int) -> bool:
+        return (start, end) in self.family or self.text[end - 1] == "." and (start, end - 1) in self.family
+
     def left(self, start: int, end: int) -> int:
         known = False
         while True:
@@ -245,14 +250,15 @@ class _Names:
     def right(self, end: int, bare: bool) -> int:
         while True:
             m = _RIGHT.match(self.text, end)
-            if m and (m.start(2), m.end(2)) in self.family:
-                end = m.end()
+            if m and self.is_family(m.start(2), m.end(2)):
+                end = m.end() - (m.group(2)[-1] == ".")
                 continue
             if m and m.group(1) != "-" and (_INITIAL.match(m.group(2)) and (not self.mixed or m.group(2)[0].isupper()) and self.low[m.start(2)] not in "yeo"):
                 return m.end()
             n = _COMMA_RIGHT.match(self.text, end) if bare else None
-            if n and ((n.start(1), n.end(1)) in self.given or _INITIAL.match(n.group(1)) or self.mixed and self.unknown_given(n.start(1), n.end(1)) and _SPOKEN.match(self.low[n.start(1) : n.end(1)])):
-                return end if self.begins_a_name(n.end()) else n.end()
+            stop = n.end() - (n.group(1)[-1] == "." and len(n.group(1)) > 2) if n else 0
+            if n and ((n.start(1), stop) in self.given or _INITIAL.match(n.group(1)) or self.mixed and self.unknown_given(n.start(1), stop) and _SPOKEN.match(self.low[n.start(1) : stop])):
+                return end if self.begins_a_name(n.end()) else stop
             return end
 
     def begins_a_name(self, end: int) -> bool:
@@ -260,7 +266,7 @@ class _Names:
         m = _RIGHT.match(self.text, end)
         if m and _INITIAL.match(m.group(2)):
             m = _RIGHT.match(self.text, m.end())
-        return bool(m) and (m.start(2), m.end(2)) in self.family
+        return bool(m) and self.is_family(m.start(2), m.end(2))
 
     def organisation_after(self, end: int) -> bool:
         m = _RIGHT.match(self.text, end)
@@ -289,15 +295,15 @@ class _Names:
             # a given name: with a family name or an initial behind it, else only after a title or a phrase for persons
             m = _RIGHT.match(self.text, end)
             nxt = (m.start(2), m.end(2)) if m else None
-            if m and nxt in self.family:
+            if m and self.is_family(*nxt):
                 continue  # found from the family name
             if m and self.low[nxt[0] : nxt[1]] in L.PARTICLES:
                 n = _RIGHT.match(self.text, m.end())
-                if n and (n.start(2), n.end(2)) in self.family:
+                if n and self.is_family(n.start(2), n.end(2)):
                     continue
             if m and _INITIAL.match(m.group(2)) and (not self.mixed or m.group(2)[0].isupper()):
                 n = _RIGHT.match(self.text, m.end())
-                if n and (n.start(2), n.end(2)) in self.family:
+                if n and self.is_family(n.start(2), n.end(2)):
                     continue
                 yield start, m.end()
                 done = m.end()

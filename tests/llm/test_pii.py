@@ -14,6 +14,7 @@ TEXTS = [
     ("email", "From: <⟦otis_x @ fujus.test⟧> and ⟦j.doe arroba correo.example⟧."),
     ("email", "RESPONDER A mailto:⟦A.B-C@POSTA.INVALID⟧, GRACIAS"),
     ("email", "cc ⟦joaquin+t AT posta.invalid⟧ and file"),
+    ("email", "Write to (⟦ahasksti AT pumin.example⟧) now"),
     (None, "Items priced at 6 @ 790.27 Swiss Franc. Handle @desk2 confirmed, look at this.example"),
     ("phone", "Llamar al ⟦+44 20 7946 0328⟧ después de las 11:21, fax ⟦(912) 555-0194⟧."),
     ("phone", "Dialled ⟦395.555.0178⟧, then ⟦+1-703-555-0123 x16⟧; no reply."),
@@ -36,6 +37,7 @@ TEXTS = [
     ("person_name", "Dr. ⟦Vessvane⟧ and ⟦Stellan de Woldvares⟧; ⟦Rakur T. Bracnetti⟧, ⟦Ilse F. Norvimendi⟧, ⟦Priya A.⟧"),
     ("person_name", "Beneficiary ⟦Xunon Norvielius-Ibraxlano⟧ was paid. Según ⟦M. Faeléry⟧, es la devolución."),
     ("person_name", "HABLÉ CON ⟦IÑAKI GARVUREAUX⟧ POR LA REFERENCIA. according to ⟦kate yarroñuela⟧, no."),
+    ("person_name", "La firma parece ser de ⟦Agnes Lombalano Varosson⟧. A nombre de ⟦Pilar Müssardo⟧. La de ⟦Zofia van Taviswick⟧. Pago a ⟦Juralorte, Delfina⟧."),
     ("person_name", "Ask for ⟦Tomoko Brandtner⟧ at the counter."),
     (None, "Harrow Dairy GmbH and Kestrel Software LLC pay Juwobefe Banca; According to Pifozu Holding Bank, no."),
 ]
