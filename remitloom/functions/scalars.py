@@ -26,12 +26,12 @@ STATIC_ONLY_CURRENCIES = ("Bitcoin", "Ruble", "Saudi Riyal")
 
 STAMP_PATTERN = r"^[0-9]{4}/[0-9]{2}/[0-9]{2} [0-9]{2}:[0-9]{2}$"
 INTEGER_PATTERN = r"^[+-]?[0-9]+$"
-_BLANKS = r"^\s+|\s+$"
+_BLANKS = " \t\n\r\x0b\f\u00a0\u2002\u2003\u2009\u202f\u3000\ufeff"
 
 
 def strip(text: Column) -> Column:
     """``text`` without white space of any kind at its ends."""
-    return F.regexp_replace(text, _BLANKS, "")
+    return F.trim(text, F.lit(_BLANKS))
 
 
 def bank_number(text: Column) -> Column:
@@ -50,7 +50,7 @@ def integer_text(text: Column) -> Column:
 
 def plain_name(text: Column) -> Column:
     """A name without regard to letter case, outer white space and the length of inner white space."""
-    return F.lower(strip(F.regexp_replace(text, r"\s+", " ")))
+    return F.lower(strip(F.regexp_replace(text, r"[\s\u00a0\u2002\u2003\u2009\u202f\u3000]+", " ")))
 
 
 def has_stamp(ts: Column) -> Column:
@@ -92,3 +92,10 @@ def conversion_key(currency: Column, ts: Column, target: str = "USD") -> Column:
 def stable_shard(value: Column, shards: int) -> Column:
     """crc32 shard of an integer's plain text: for layouts that must agree with other systems."""
     return F.pmod(F.crc32(value.cast("string").cast("binary")), F.lit(shards))
+
+
+def digest_shard(text: Column, shards: int) -> Column:
+    """The SHA-256 digest of a text, as one large number, modulo ``shards`` (below 2**31)."""
+    digest = F.sha2(text, 256)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(digest, i * 8 + 1, F.lit(8)), 16, 10).cast("bigint"))
+    return F.aggregate(parts, F.lit(0).cast("bigint"), lambda total, part: (total * F.lit(1 << 32) + part) % F.lit(shards))

@@ -57,6 +57,11 @@ def _unpack(bits: pd.Series) -> pd.Series:
     return bits.map(lambda b: zlib.decompress(bytes(b)))
 
 
+def shards_for(messages: int, per_shard: int = 2_000_000) -> int:
+    """Shards for a store that is to hold about so many messages."""
+    return max(16, -(-messages // per_shard))
+
+
 class SeenStore:
     """Which messages have been seen, over any number of batches.
 

@@ -30,10 +30,9 @@ def named_banks(best: DataFrame, names: DataFrame, key: str, unnamed: str = "Unk
 def below_threshold(rows: DataFrame, thresholds: DataFrame, key: str, value: str, threshold: str) -> DataFrame:
     """Rows with ``0 < value < threshold`` of their key. Keys without a threshold, NULLs and NaNs give nothing.
 
-    The thresholds come from an aggregate of one row per key; its size is known at run time only, so adaptive
-    execution decides between broadcasting and shuffling.
+    The thresholds are broadcast if their size is known to be small, else the join shuffles.
     """
-    joined = rows.join(thresholds.select(key, threshold), key, "inner")
+    joined = rows.join(broadcast_if_small(thresholds.select(key, threshold)), key, "inner")
     return joined.filter((F.col(value) > 0) & (F.col(value) < F.col(threshold))).drop(threshold)
 
 

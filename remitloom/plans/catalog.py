@@ -11,7 +11,7 @@ from remitloom.functions import scalars as X
 from remitloom.operators import aggregates, dedup, filters, graph, hotkeys, joins, orphans, topn, units
 from remitloom.params import DEFAULTS as P
 from remitloom.plans import questions as Q
-from remitloom.sources import sinks
+from remitloom.sources import derived, sinks
 from remitloom.sources import tables as S
 from remitloom.sources.shared import fresh_path
 from remitloom.streaming import flows
@@ -244,7 +244,7 @@ def _(spark, d):
     return aggregates.counts_by(direct.unionByName(rows.filter("route = 'convert'").select(F.lit("convert").alias("branch"))), "branch")
 
 
-@query("p13_final_types", f"WITH {_USD} SELECT account_origin, coalesce(amount_received, 0) AS amount_received FROM usd WHERE amount_received IS NULL OR NOT isnan(amount_received)")
+@query("g_final_types", f"WITH {_USD} SELECT account_origin, coalesce(amount_received, 0) AS amount_received FROM usd WHERE amount_received IS NULL OR NOT isnan(amount_received)")
 def _(spark, d):
     rows = Q.usd_rows(tx(spark, d)).filter(F.col("amount_received").isNull() | ~F.isnan("amount_received"))
     return rows.select("account_origin", F.coalesce("amount_received", F.lit(0.0)).alias("amount_received"))
@@ -317,6 +317,67 @@ def _(spark, d):
     return flows.run_available(aggregates.count_rows(Q.usd_rows(flows.table_stream(spark, d, "bank_transactions"))), mode="complete")
 
 
+# ---- the five questions over transactions derived from the order tables -------------------------------------------------
+
+_PRICE = "CAST(l_extendedprice AS DOUBLE) / CASE l_linenumber " + " ".join(f"WHEN {i} THEN 1e{i - 1}" for i in range(1, 7)) + " ELSE 1e6 END"
+_PAID = "CASE WHEN l_suppkey % 5 = 3 THEN 'Bitcoin' WHEN l_suppkey % 5 = 4 THEN 'Saudi Riyal' ELSE 'US Dollar' END"
+_VIEW = f"""k AS (SELECT CASE WHEN count(*) < 5000 THEN 40 WHEN count(*) < 50000 THEN 400 ELSE 1200 END AS k FROM orders),
+  derived AS (SELECT '2022/09/' || lpad(CAST(1 + l_orderkey % 20 AS VARCHAR), 2, '0') || ' ' || lpad(CAST(l_partkey % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') AS ts,
+  lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS from_bank, 'A' || lpad(CAST(o_custkey % (SELECT k FROM k) AS VARCHAR), 5, '0') AS account_origin,
+  'A' || lpad(CAST((l_partkey * 7 + l_suppkey) % (SELECT k FROM k) AS VARCHAR), 5, '0') AS account_destination, {_PRICE} AS amount_received, {_PRICE} AS amount_paid,
+  CASE WHEN l_partkey % 10 = 0 THEN 'Euro' ELSE {_PAID} END AS receiving_currency, {_PAID} AS payment_currency,
+  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Wire' WHEN '2' THEN 'ACH' WHEN '3' THEN 'Cheque' WHEN '4' THEN 'Credit Card' ELSE 'Reinvestment' END AS payment_format
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
+_STATIC = "conversion_rates_static AS (SELECT * FROM (VALUES " + ", ".join(f"('{k.split('|')[0]}', '{k.split('|')[2]}', CAST('{v}' AS DECIMAL(18, 6)))" for k, v in derived.STATIC_RATES.items()) + ") AS t(currency, rate_day, rate))"
+_NATIONS = "names AS (SELECT n_nationkey AS bank_id, n_name AS bank_name FROM nation WHERE n_nationkey <> 24)"
+
+
+def _over_view(sql: str) -> str:
+    """The SQL of a question with the derived tables in place of the transactions, names and rates."""
+    sql = sql.replace("WITH ", f"WITH {_VIEW}, {_STATIC}, ", 1).replace("FROM bank_transactions", "FROM derived")
+    return sql.replace("FROM conversion_rates ", "FROM conversion_rates_static ").replace(_NAMES, _NATIONS)
+
+
+def _derived(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return derived.transactions(spark, d), derived.accounts(spark, d), S.rates_from_mapping(spark, derived.STATIC_RATES)
+
+
+@query("v_q1", _over_view(SQL["q1"]))
+def _(spark, d):
+    return Q.q1(_derived(spark, d)[0])
+
+
+@query("v_q2", _over_view(SQL["q2"]))
+def _(spark, d):
+    return Q.q2(*_derived(spark, d)[:2])
+
+
+@query("v_q3", _over_view(SQL["q3"]))
+def _(spark, d):
+    return Q.q3(_derived(spark, d)[0])
+
+
+@query("v_q4", _over_view(SQL["q4"]))
+def _(spark, d):
+    return Q.q4(_derived(spark, d)[0])
+
+
+@query("v_pair_middles", _over_view(SQL["a5_pair_middles"]))
+def _(spark, d):
+    return Q.q4_pairs(_derived(spark, d)[0])
+
+
+@query("v_q4_accounts", _over_view(SQL["q4_accounts"]))
+def _(spark, d):
+    return graph.flatten_pairs(Q.q4(_derived(spark, d)[0]))
+
+
+@query("v_q5", _over_view(SQL["q5"]))
+def _(spark, d):
+    rows, _, static = _derived(spark, d)
+    return Q.q5(rows, static)
+
+
 # ---- data processing -------------------------------------------------------------------------------------------------
 
 
@@ -341,7 +402,8 @@ _IDENT = """CASE WHEN {i} IS NULL THEN NULL WHEN regexp_matches({i}, '^\\s*[+-]?
   WHERE message_id IS NOT NULL OR data_id IS NOT NULL) WHERE rn > 1""")
 def _(spark, d):
     rows = arrivals(spark, d)
-    return dedup.surplus(rows, dedup.SeenStore(spark, fresh_path(spark, "seen")).ingest(rows)).select(F.col("row_id").alias("delivery_id"))
+    seen = dedup.SeenStore(spark, fresh_path(spark, "seen"), dedup.shards_for(rows.count()))
+    return dedup.surplus(rows, seen.ingest(rows)).select(F.col("row_id").alias("delivery_id"))
 
 
 def _by_bank(spark: SparkSession, d: str, value) -> DataFrame:

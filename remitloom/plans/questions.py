@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from remitloom.functions import scalars as X
 from remitloom.operators import aggregates, filters, graph, joins
 from remitloom.params import DEFAULTS, QueryParams
+from remitloom.sources.shared import written
 
 
 def usd_rows(tx: DataFrame, p: QueryParams = DEFAULTS) -> DataFrame:
@@ -43,7 +44,8 @@ def format_averages(tx: DataFrame, p: QueryParams = DEFAULTS) -> DataFrame:
 
 
 def far_below_average(tx: DataFrame, p: QueryParams = DEFAULTS) -> DataFrame:
-    thresholds = format_averages(tx, p).select("payment_format", (F.col("average") * p.average_factor).alias("_thr"))
+    # one row per format, written so that its size is known before the join is planned
+    thresholds = written(format_averages(tx, p).select("payment_format", (F.col("average") * p.average_factor).alias("_thr")), "thresholds")
     candidates = filters.in_days(usd_rows(tx, p), p.candidate_from, p.candidate_to)
     return joins.below_threshold(candidates, thresholds, "payment_format", "amount_received", "_thr")
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: list[str] = []
+_USED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,12 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.mkdtemp(prefix="remitloom-"))
+        atexit.register(shutil.rmtree, _FALLBACK[0], ignore_errors=True)
     return f"file://{_FALLBACK[0]}"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _USED.add(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -34,6 +40,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Deletes everything this program has written to the shared folder; to be called once no result is read any more."""
+    count = 0
+    while _USED:
+        delete(spark, _USED.pop())
+        count += 1
+    return count
+
+
 def delete(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

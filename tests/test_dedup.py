@@ -84,3 +84,11 @@ def test_shards_and_numbers(spark):
     df = spark.createDataFrame([("007",), (" 7\t",), ("-7",), ("7.0",), ("",), ("x",), (None,), ("9" * 30,)], "b string")
     assert [r[0] for r in df.select(X.bank_number(F.col("b"))).collect()] == [7, 7, -7, None, None, None, None, None]
     assert {r[0] for r in df.select(X.stable_shard(X.bank_number(F.col("b")), 4)).collect()} <= {0, 1, 2, 3, None}
+
+
+def test_digest_shards(spark):
+    import hashlib
+
+    texts = ["", "EUR|USD|2022-09-01", "ñandú", "x" * 1000]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select(X.digest_shard(F.col("t"), 13)).collect()
+    assert [r[0] for r in out] == [int(hashlib.sha256(t.encode()).hexdigest(), 16) % 13 for t in texts]

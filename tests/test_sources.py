@@ -49,6 +49,7 @@ def test_shared_folder_is_the_sessions(spark):
     assert shared.shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
     again = shared.written(spark.range(3), "x")
     assert again.count() == 3
+    assert shared.clean(spark) >= 1 and shared.clean(spark) == 0
 
 
 @pytest.fixture
