@@ -74,9 +74,9 @@ def number(value: Column) -> Column:
 
 def currency_code(name: Column) -> Column:
     """Code of a currency name; unknown names pass through trimmed, blank ones become NULL."""
-    plain = strip(name)
+    plain = F.nullif(strip(name), F.lit(""))
     pairs = [F.lit(x) for pair in CURRENCY_CODES.items() for x in pair]
-    return F.when(plain != "", F.coalesce(F.create_map(*pairs)[plain], plain))
+    return F.coalesce(F.create_map(*pairs)[plain], plain)
 
 
 def is_static_only(name: Column) -> Column:

@@ -46,5 +46,7 @@ def route_formats(df: DataFrame, formats: tuple[str, ...] = DEFAULTS.converted_f
     Rows with a blank currency, and rows to convert with a blank ``ts``, have no route and are dropped.
     """
     code = X.currency_code(F.col("payment_currency"))
-    route = F.when(code == "USD", "direct").when(code.isNotNull() & (X.strip(F.col("ts")) != ""), "convert")
-    return df.filter(F.col("payment_format").isin(*formats)).withColumn("route", route).filter(F.col("route").isNotNull())
+    kept = df.filter(F.col("payment_format").isin(*formats))
+    # the cheap test comes first and decides nearly always
+    kept = kept.filter((X.strip(F.col("payment_currency")) != "") & ((X.strip(F.col("ts")) != "") | (code == "USD")))
+    return kept.withColumn("route", F.when(code == "USD", "direct").otherwise("convert"))

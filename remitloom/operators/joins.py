@@ -36,12 +36,12 @@ def below_threshold(rows: DataFrame, thresholds: DataFrame, key: str, value: str
     return joined.filter((F.col(value) > 0) & (F.col(value) < F.col(threshold))).drop(threshold)
 
 
-def with_rate(rows: DataFrame, rates: DataFrame, currency: str = "payment_currency", ts: str = "ts", out: str = "rate") -> DataFrame:
+def with_rate(rows: DataFrame, rates: DataFrame, currency: str = "payment_currency", ts: str = "ts", out: str = "rate", code: str | None = None) -> DataFrame:
     """``rows`` with ``out``: the rate of the currency's code on the day of ``ts``, else of the code on any day, else NULL.
 
     ``rates`` is (currency, rate_day, rate); its names are turned into codes too. A currency with two spellings for
     one day takes the larger rate, so the join never multiplies rows. US dollars have rate 1. Columns of ``rows`` stay,
-    but for one named ``out``; names that begin with ``__`` are reserved.
+    but for one named ``out``; names that begin with ``__`` are reserved. ``code`` keeps the code under that name.
     """
     keyed = rates.groupBy(X.currency_code(F.col("currency")).alias("__code"), F.col("rate_day").alias("__day")).agg(F.max("rate").alias("__rate"))
     dated = keyed.filter(F.col("__day").isNotNull())
@@ -49,7 +49,8 @@ def with_rate(rows: DataFrame, rates: DataFrame, currency: str = "payment_curren
     found = rows.withColumn("__code", X.currency_code(F.col(currency))).withColumn("__day", X.day_dash(F.col(ts)))
     found = found.join(broadcast_if_small(dated), ["__code", "__day"], "left").join(broadcast_if_small(always), "__code", "left")
     rate = F.when(F.col("__code") == "USD", F.lit(1).cast("decimal(18,6)")).otherwise(F.coalesce("__rate", "__default"))
-    return found.withColumn(out, rate).drop("__code", "__day", "__rate", "__default")
+    found = found.withColumn(out, rate)
+    return (found.withColumn(code, F.col("__code")) if code else found).drop("__code", "__day", "__rate", "__default")
 
 
 def to_usd(rows: DataFrame, rates: DataFrame, amount: str = "amount_paid", currency: str = "payment_currency", out: str = "usd_amt") -> DataFrame:
@@ -58,6 +59,8 @@ def to_usd(rows: DataFrame, rates: DataFrame, amount: str = "amount_paid", curre
     Dollars pass as they are; other amounts are multiplied as decimal(28,10) with a rate of decimal(14,6), which keeps 11
     decimals of the product, and only the product becomes a double.
     """
-    exact = X.number(F.col(amount)).try_cast("decimal(28,10)")
-    usd = F.when(X.currency_code(F.col(currency)) == "USD", X.number(F.col(amount))).otherwise((exact * F.col("__usd_rate").try_cast("decimal(14,6)")).cast("double"))
-    return with_rate(rows, rates, currency, out="__usd_rate").withColumn(out, usd).drop("__usd_rate")
+    plain = X.number(F.col(amount))
+    rated = with_rate(rows, rates, currency, out="__usd_rate", code="__usd_code")
+    product = plain.try_cast("decimal(28,10)") * F.col("__usd_rate").try_cast("decimal(14,6)")
+    usd = F.when(F.col("__usd_code") == "USD", plain).otherwise(product.cast("double"))
+    return rated.withColumn(out, usd).drop("__usd_rate", "__usd_code")

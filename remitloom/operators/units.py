@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from remitloom.functions import scalars as X
 from remitloom.operators.joins import broadcast_if_small
-from remitloom.sources.shared import written
+from remitloom.sources.shared import literal, written
 
 #: Currency -> code, symbols, usual names.
 CURRENCIES = {
@@ -173,7 +173,7 @@ def phrase_aliases(phrases: DataFrame) -> DataFrame:
     the least cost, of several the shortest, then the first by name.
     """
     spark = phrases.sparkSession
-    words = spark.createDataFrame(lexicon(), "alias string, currency string, power int").withColumn("fuzzy", F.length("alias") >= FUZZY_FROM)
+    words = literal(spark, lexicon(), "alias string, currency string, power int").withColumn("fuzzy", F.length("alias") >= FUZZY_FROM)
     exact = phrases.join(F.broadcast(words), phrases["phrase"] == words["alias"]).select("phrase", "currency", "power", F.lit(True).alias("exact"))  # the lexicon has a fixed size
     index = words.filter("fuzzy").select("alias", "currency", "power", F.explode(_grams(F.col("alias"))).alias("gram"), F.size(_grams(F.col("alias"))).alias("grams"))
     others = phrases.filter(F.length("phrase") >= FUZZY_FROM - 1).join(exact.select("phrase"), "phrase", "left_anti")

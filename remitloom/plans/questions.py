@@ -65,8 +65,8 @@ def q4(tx: DataFrame, p: QueryParams = DEFAULTS) -> DataFrame:
 
 
 def converted(tx: DataFrame, rates: DataFrame, p: QueryParams = DEFAULTS) -> DataFrame:
-    rows = filters.in_days(filters.without_format(tx, p.excluded_format), p.reference_from, p.reference_to)
-    return joins.to_usd(filters.route_formats(rows, p.converted_formats), rates)
+    rows = filters.route_formats(filters.in_days(tx, p.reference_from, p.reference_to), p.converted_formats)
+    return joins.to_usd(filters.without_format(rows, p.excluded_format), rates)
 
 
 def q5(tx: DataFrame, rates: DataFrame, p: QueryParams = DEFAULTS) -> DataFrame:

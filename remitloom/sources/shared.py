@@ -26,6 +26,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_FALLBACK[0]}"
 
 
+def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of configuration as a local relation, whose size the optimizer knows."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = spark.createDataFrame([], schema).schema
+    table = to_arrow_schema(fields)
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    return spark.createDataFrame(pa.table([pa.array(list(c), f.type) for c, f in zip(columns, table)], schema=table), schema=fields)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from remitloom import schemas
 from remitloom.functions import scalars as X
+from remitloom.sources.shared import literal
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,7 +55,7 @@ def rates_from_mapping(spark: SparkSession, rates: dict[str, str], builtin: bool
         parts = key.split("|")
         chosen[parts[0].strip(), parts[-1] if len(parts) > 1 else None] = merged[key]
     rows = [(c, d, r) for (c, d), r in chosen.items()]
-    return spark.createDataFrame(rows, "currency string, rate_day string, rate string").withColumn("rate", F.col("rate").cast("decimal(18,6)"))
+    return literal(spark, rows, "currency string, rate_day string, rate string").withColumn("rate", F.col("rate").cast("decimal(18,6)"))
 
 
 def rates_json(spark: SparkSession, path: str, builtin: bool = True) -> DataFrame:
