@@ -100,9 +100,9 @@ def lexicon() -> list[tuple[str, str | None, int | None]]:
 
 
 def spelled(text: Column) -> Column:
-    """The text with its figures replaced by ``#``, except figures that mark thousands; one blank between parts."""
-    marked = F.regexp_replace(text, _THOUSANDS_MARK, f" {_KILO_MARK} ")
-    return X.strip(F.regexp_replace(F.regexp_replace(marked, r"[0-9]+(?:[.,'’][0-9]+)*", " # "), r"\s+", " "))
+    """The text with its figures replaced by `` # ``, except figures that mark thousands; outer blanks off."""
+    marked = F.when(F.contains(text, F.lit("000")), F.regexp_replace(text, _THOUSANDS_MARK, f" {_KILO_MARK} ")).otherwise(text)
+    return X.strip(F.regexp_replace(marked, r"[0-9]+(?:[.,'’][0-9]+)*", " # "))
 
 
 _CLOSE = ".,;:()[]{}\"'!?-/"
