@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 PATH_VARIABLE = "TOKENIZER_PATH"
 FILE = "byte_bpe_50k.tiktoken"
 FOLDER = "/opt/tokenizers"
+#: Fixed value: how the vocabulary's tokenizer cuts a text before it merges bytes.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def vocabulary_path() -> str:
@@ -31,7 +33,6 @@ def vocabulary_path() -> str:
 @lru_cache(maxsize=2)
 def _encoding(path: str):
     import tiktoken
-    from public_tokenizers import PATTERN
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
