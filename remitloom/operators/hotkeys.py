@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from remitloom.operators import skew
 from remitloom.operators.prefix import running_total
 
 
@@ -45,8 +46,9 @@ def percentiles(weighted: DataFrame, shares: dict[str, float]) -> DataFrame:
     """
     kept = weighted.filter(F.col("key").isNotNull() & F.col("value").isNotNull())
     running = running_total(kept, ["key"], [F.col("value")], "n", "upto", "percentiles")
+    hot = skew.hot_keys(running, ["key"])
     totals = running.groupBy("key").agg(F.max("upto").alias("total"))
-    rows = running.join(totals, "key")
+    rows = skew.salted(running, hot, ["key"], "value").join(skew.repeated(totals, hot, ["key"]), ["key", skew.SALT])
     columns = []
     for name, share in shares.items():
         wanted = F.greatest(F.ceil(F.col("total") * F.lit(float(share))), F.lit(1))

@@ -8,6 +8,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from remitloom.operators import skew
+
 
 def find_orphans(refs: DataFrame, targets: DataFrame, keys: list[str], match: str = "simple") -> DataFrame:
     """(row_key, at, orphan_kind): references that find no valid target.
@@ -24,8 +26,8 @@ def find_orphans(refs: DataFrame, targets: DataFrame, keys: list[str], match: st
     A target is valid at ``at`` if ``valid_from <= at`` and ``valid_to`` is NULL or ``> at``. Kinds: ``missing`` - no
     target has the key; ``deleted`` - one was there by ``at``, but none is valid; ``late`` - all came later. With a
     NULL ``at`` nothing is known to be there, so an existing key gives ``late``. Targets may repeat, extra columns on
-    either side are ignored. The anti join stops at the first valid target; kinds are looked up for orphans only. Hot
-    keys are left to adaptive execution, which splits the reference side of an anti or left join.
+    either side are ignored. The anti join stops at the first valid target; kinds are looked up for orphans only. Rows of
+    hot keys are salted, so a key with a third of all references is spread over tasks.
     """
     if match not in ("simple", "partial", "full"):
         raise ValueError(f"unknown match: {match}")
@@ -39,11 +41,15 @@ def find_orphans(refs: DataFrame, targets: DataFrame, keys: list[str], match: st
         if match == "full" and len(stated) < len(keys):
             found.append(own.select("row_key", "at", F.lit("missing").alias("orphan_kind")))
             continue
+        here, there = [f"r_{k}" for k in stated], [f"t_{k}" for k in stated]
+        hot = skew.hot_keys(own, here)
+        own = skew.salted(own, hot, here, "row_key", "r__salt")
         to = targets.select(*[F.col(k).alias(f"t_{k}") for k in stated], "valid_from", "valid_to")
-        same = reduce(Column.__and__, [F.col(f"r_{k}") == F.col(f"t_{k}") for k in stated])
+        to = skew.repeated(to, hot, there, "t__salt")
+        same = reduce(Column.__and__, [F.col(r) == F.col(t) for r, t in zip([*here, "r__salt"], [*there, "t__salt"])])
         valid = (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("at")))
         orphans = own.join(to, same & valid, "left_anti")
-        first = to.groupBy(*[f"t_{k}" for k in stated]).agg(F.min("valid_from").alias("first"), F.lit(True).alias("there"))
+        first = to.groupBy(*there, "t__salt").agg(F.min("valid_from").alias("first"), F.lit(True).alias("there"))
         kind = F.when(F.col("there").isNull(), "missing").when(F.col("first") <= F.col("at"), "deleted").otherwise("late")
         found.append(orphans.join(first, same, "left").select("row_key", "at", kind.alias("orphan_kind")))
     if not found:
