@@ -14,18 +14,26 @@ from remitloom.sources.shared import written
 #: A key is hot if it holds at least one row in so many; so there are never more hot keys than this.
 HOT_PARTS = 64
 SALTS = 32
+BUCKETS = 4096
 SALT = "__salt"
 
 
-def hot_keys(df: DataFrame, keys: list[str], parts: int = HOT_PARTS) -> DataFrame:
-    """(keys): the keys with at least one in ``parts`` of the rows, at most ``parts`` of them, written.
+def hot_keys(df: DataFrame, keys: list[str], parts: int = HOT_PARTS) -> DataFrame | None:
+    """(keys): the keys with at least one in ``parts`` of the rows, at most ``parts`` of them, written; None if there can be none.
 
-    Rows with a NULL key count in the total only. The counts combine on the map side, so the hot keys themselves
-    cost one row per task.
+    Rows with a NULL key count in the total only. Rows are first counted by a hash of the key in BUCKETS buckets, which
+    shuffles one row per bucket and task; a hot key's bucket is at least as full as the key, so only the keys of full
+    buckets are counted themselves, and mostly there are none.
     """
-    stated = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return written(stated.filter(F.col("__n") * parts >= total).select(*keys), "hot")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    filled = {r["b"]: r["n"] for r in df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most BUCKETS rows
+    least = -(-sum(filled.values()) // parts)
+    full = [b for b, n in filled.items() if n >= least]
+    picked = df.select(*keys)
+    if not full:
+        return None
+    counted = picked.filter(bucket.isin(*full)).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return written(counted.filter(F.col("__n") >= least).select(*keys), "hot")
 
 
 def _marked(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,13 +45,17 @@ def _marked(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(F.broadcast(named), same, "left").drop(*[f"__h{i}" for i in range(len(keys))])  # at most HOT_PARTS rows
 
 
-def salted(df: DataFrame, hot: DataFrame, keys: list[str], spread_by: str, salt: str = SALT) -> DataFrame:
+def salted(df: DataFrame, hot: DataFrame | None, keys: list[str], spread_by: str, salt: str = SALT) -> DataFrame:
     """``df`` with a salt: by ``spread_by`` for rows of hot keys, 0 for all others."""
+    if hot is None:
+        return df.withColumn(salt, F.lit(0))
     marked = _marked(df, hot, keys)
     return marked.withColumn(salt, F.when(F.col("__hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("__hot")
 
 
-def repeated(df: DataFrame, hot: DataFrame, keys: list[str], salt: str = SALT) -> DataFrame:
+def repeated(df: DataFrame, hot: DataFrame | None, keys: list[str], salt: str = SALT) -> DataFrame:
     """``df`` once with salt 0, or once per salt for rows of hot keys: the other side of a salted join."""
+    if hot is None:
+        return df.withColumn(salt, F.lit(0))
     salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     return _marked(df, hot, keys).withColumn(salt, F.explode(salts)).drop("__hot")

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _FALLBACK: list[str] = []
 _USED: set[str] = set()
@@ -26,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_FALLBACK[0]}"
 
 
-def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+def literal(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
     """A few rows of configuration as a local relation, whose size the optimizer knows."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
