@@ -42,7 +42,7 @@ marine optics paper foods""".split()
 
 STREETS_AFTER = "street st road rd avenue ave lane ln court ct drive dr blvd boulevard terrace ter way place pl square sq close crescent cres parkway pkwy highway hwy row mews grove".split()
 STREETS_SHORT = {"st", "rd", "ave", "ln", "ct", "dr", "blvd", "ter", "pl", "sq", "cres", "pkwy", "hwy"}
-STREETS_BEFORE = "calle c/ av avda avenida bv bvar bulevar camino cno pasaje pje paseo plaza carrera cra ruta diagonal callejón ronda rua travessa largo praça praca alameda estrada ladeira beco rambla vía r trav tv lgo".split()
+STREETS_BEFORE = "calle c/ av avda avenida bv bvar bulevar camino cno pasaje pje paseo plaza carrera cra ruta diagonal callejón ronda rua travessa largo praça praca praceta calçada carretera alameda estrada ladeira beco rambla vía r trav tv lgo".split()
 #: Of these, the ones that need a full stop.
 STREETS_WITH_DOT = {"r", "trav", "tv", "lgo"}
 
