@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -198,23 +199,49 @@ _AFTER_CUE = re.compile(
 )
 
 
+#: Whole words of one case, in a text where U stands for capitals, l for small letters and a blank for all else, and from
+#: how many letters on they are a section of their own.
+_ONE_CASE = re.compile(r"(?<![Ul])(?:U[U ]*|l[l ]*)(?![Ul])")
+_CAPITALS_FROM, _SMALL_FROM = 40, 200
+
+
+def _sections(text: str) -> tuple[list[int], list[bool]]:
+    """Starts of the sections of the whole text, and whether each is in mixed case, so that capitals tell something.
+
+    Long stretches of one case are sections of their own, as is what stands between them; a single capital between
+    them makes no mixed case.
+    """
+    cases = "".join(["U" if c.isupper() else "l" if c.islower() else " " for c in text])
+    cuts = {0}
+    for m in _ONE_CASE.finditer(cases):
+        if m.end() - m.start() >= _CAPITALS_FROM and len(m.group()) - m.group().count(" ") >= (_CAPITALS_FROM if cases[m.start()] == "U" else _SMALL_FROM):
+            cuts |= {m.start(), m.end()}
+    starts, mixed = sorted(cuts), []
+    for start, end in zip(starts, [*starts[1:], len(text)]):
+        upper, lower = cases.count("U", start, end), cases.count("l", start, end)
+        mixed.append(0.005 < upper / max(upper + lower, 1) < 0.6 and (upper > 1 or len(starts) == 1))
+    return starts, mixed
+
+
 class _Names:
     def __init__(self, text: str, low: str, found: dict):
         self.text, self.low, self.found = text, low, found
-        letters = [c for c in text if c.isalpha()][:4000]
-        upper = sum(c.isupper() for c in letters)
-        self.mixed = bool(letters) and 0.005 < upper / len(letters) < 0.6
+        self.starts, self.in_mixed = _sections(text)
         self.family = {(s, e) for s, e, _ in found["family"]}
         self.given = {(s, e) for s, e, _ in found["given"]}
         self.family_at = {s for s, _ in self.family}
         self.given_at = {s for s, _ in self.given}
 
+    def mixed(self, at: int) -> bool:
+        """Whether the section around a place is in mixed case."""
+        return self.in_mixed[bisect_right(self.starts, at) - 1]
+
     def unknown_given(self, start: int, end: int, capitals: bool = False) -> bool:
         """A word of no list that looks like a given name: a capital in mixed text, a speakable invention elsewhere."""
         word = self.low[start:end].rstrip(".")
         if word in L.NOT_GIVEN or word in L.TITLES or word in L.STREET_HONOURS or word in L.ORGANISATION or len(word) < 3:
             return False
-        if self.mixed:
+        if self.mixed(start):
             shape = self.text[start].isupper() and self.text[start + 1 : end].islower() or capitals and self.text[start:end].isupper()
             return shape and not self.text[start:end].endswith(".")
         return bool(_SPOKEN.match(word))
@@ -253,11 +280,11 @@ class _Names:
             if m and self.is_family(m.start(2), m.end(2)):
                 end = m.end() - (m.group(2)[-1] == ".")
                 continue
-            if m and m.group(1) != "-" and (_INITIAL.match(m.group(2)) and (not self.mixed or m.group(2)[0].isupper()) and self.low[m.start(2)] not in "yeo"):
+            if m and m.group(1) != "-" and (_INITIAL.match(m.group(2)) and (not self.mixed(m.start(2)) or m.group(2)[0].isupper()) and self.low[m.start(2)] not in "yeo"):
                 return m.end()
             n = _COMMA_RIGHT.match(self.text, end) if bare else None
             stop = n.end() - (n.group(1)[-1] == "." and len(n.group(1)) > 2) if n else 0
-            if n and ((n.start(1), stop) in self.given or _INITIAL.match(n.group(1)) or self.mixed and self.unknown_given(n.start(1), stop) and _SPOKEN.match(self.low[n.start(1) : stop])):
+            if n and ((n.start(1), stop) in self.given or _INITIAL.match(n.group(1)) or self.mixed(n.start(1)) and self.unknown_given(n.start(1), stop) and _SPOKEN.match(self.low[n.start(1) : stop])):
                 return end if self.begins_a_name(n.end()) else stop
             return end
 
@@ -301,7 +328,7 @@ class _Names:
                 n = _RIGHT.match(self.text, m.end())
                 if n and self.is_family(n.start(2), n.end(2)):
                     continue
-            if m and _INITIAL.match(m.group(2)) and (not self.mixed or m.group(2)[0].isupper()):
+            if m and _INITIAL.match(m.group(2)) and (not self.mixed(m.start(2)) or m.group(2)[0].isupper()):
                 n = _RIGHT.match(self.text, m.end())
                 if n and self.is_family(n.start(2), n.end(2)):
                     continue
@@ -314,10 +341,10 @@ class _Names:
             if (gap in title_ends or gap in cue_ends or gap + 1 in title_ends) and not self.organisation_after(end):
                 yield start, end
                 done = end
-        if self.mixed:
+        if any(self.in_mixed):
             for _, end, _ in self.found["cue"]:
                 m = _AFTER_CUE.match(self.text, end)
-                if m and not self.looks_organised(m.start("n"), m.end("n")):
+                if m and self.mixed(m.start("n")) and not self.looks_organised(m.start("n"), m.end("n")):
                     yield m.start("n"), m.end("n")
 
     def looks_organised(self, start: int, end: int) -> bool:

@@ -76,6 +76,22 @@ def test_nothing_in_nothing_and_long_texts():
     assert pii.find_mentions("İ İ ana@mail.example")[0][:2] == (4, 20)
 
 
+@pytest.mark.parametrize("before", ["THE DESK HELD BACK 92 ITEMS. ", "the desk held back 92 items. ", "LOG LINE\n", "ABC ", "abc ", "12 € "])
+@pytest.mark.parametrize("times", [0, 20, 2000])
+def test_letter_case_is_judged_where_the_name_stands(before, times):
+    text, spans = split(before * times + "Ask for ⟦Tomoko Brandtner⟧ at the counter. Neither ⟦Zdenkt Lopez⟧ nor the desk knows.")
+    assert [(a, b) for a, b, _ in pii.find_mentions(text)] == spans
+    after = text + "\n" + before * times
+    assert [(a, b) for a, b, _ in pii.find_mentions(after)] == spans
+
+
+def test_capitals_tell_nothing_in_a_long_section_of_one_case():
+    mixed = "The Desk held back 92 items. " * 300
+    assert pii.find_mentions(mixed + "PLEASE ASK FOR PAYMENT TODAY OR TOMORROW; THE FEE OF THE BRANCH STAYS OPEN") == []
+    text, spans = split(mixed + "the fee stays open and so on " * 20 + "paid by ⟦rakuro lopez⟧ at the counter")
+    assert [(a, b) for a, b, _ in pii.find_mentions(text)] == spans
+
+
 def test_code_points_beyond_the_first_plane():
     assert pii.find_mentions("😀😀 ana@mail.example")[0][0] == 3
 
