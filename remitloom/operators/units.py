@@ -62,7 +62,7 @@ MENTIONS_ONLY = re.compile(r"counter ?value|quoted|shown|as well|equivalent|cont
 PROFILE_LEADS = {"in", "in whole", "en", "em"}
 _DECIMAL_COMMA = re.compile(r"comma\s+(?:before|as|for|marks?)\s+(?:the\s+)?decimal|decimal\s+comma|coma\s+decimal", re.I)
 
-GRAM = 3
+GRAM = 2
 #: Most edit cost, as a share of the alias's length, at which a phrase still is that alias; aliases shorter than
 #: FUZZY_FROM must be met exactly (after folding letter case and accents), and in running text so must phrases shorter than
 #: FUZZY_TEXT_FROM.
@@ -129,12 +129,26 @@ def edit_cost(a: str, b: str, most: float) -> float:
             if i and j and a[i] == b[j - 1] and a[i - 1] == b[j] and a[i] != b[j]:
                 best = min(best, before[j - 1] + 0.7)
             new.append(best)
-        if min(new) > most:
+        if min(new) > most and min(row) + 0.7 > most:  # a swap goes past one row
             return float("inf")
         before, row = row, new
     return row[-1]
 
 
+def _needed(alias: str) -> int:
+    """Least number of distinct n-grams of the alias that every phrase within its distance shares; below 1 it may be none.
+
+    A letter dropped or changed destroys at most GRAM n-grams, a swap of neighbours one more, a letter added or one of two
+    equal ones dropped one less.
+    """
+    most, padded, destroyed = FUZZY_SHARE * len(alias) + 1e-9, f"^{alias}$", 0
+    for swaps, drops in product(range(int(most / 0.7) + 1), range(sum(c in " -'." for c in alias) + 1)):
+        left = most - 0.7 * swaps - 0.4 * drops
+        for changes in range(int(left / 0.5) + 1 if left >= 0 else 0):
+            destroyed = max(destroyed, (GRAM + 1) * swaps + GRAM * (drops + changes) + (GRAM - 1) * int((left - 0.5 * changes) / 0.4))
+    return len({padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1)}) - destroyed
+
+
 def _grams(text: Column) -> Column:
     padded = F.concat(F.lit("^"), text, F.lit("$"))
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (GRAM - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(GRAM))))
@@ -169,19 +183,23 @@ def _edit_cost(phrase: pd.Series, alias: pd.Series) -> pd.Series:
 def phrase_aliases(phrases: DataFrame) -> DataFrame:
     """(phrase, currency, power, exact) of the distinct phrases that are an alias, exactly or nearly.
 
-    Candidates share enough n-grams with the alias to be within the distance; the verification takes the alias with
+    Candidates are all that can be within the distance: they share as many n-grams with the alias as that leaves, or, where
+    it may leave none, are about as long. The verification takes the alias with
     the least cost, of several the shortest, then the first by name.
     """
     spark = phrases.sparkSession
-    words = literal(spark, lexicon(), "alias string, currency string, power int").withColumn("fuzzy", F.length("alias") >= FUZZY_FROM)
+    words = literal(spark, [(*entry, _needed(entry[0])) for entry in lexicon()], "alias string, currency string, power int, needed int").withColumn("fuzzy", F.length("alias") >= FUZZY_FROM)
     exact = phrases.join(F.broadcast(words), phrases["phrase"] == words["alias"]).select("phrase", "currency", "power", F.lit(True).alias("exact"))  # the lexicon has a fixed size
-    index = words.filter("fuzzy").select("alias", "currency", "power", F.explode(_grams(F.col("alias"))).alias("gram"), F.size(_grams(F.col("alias"))).alias("grams"))
+    fuzzy = words.filter("fuzzy").select("alias", "currency", "power", "needed")
+    index = fuzzy.filter("needed > 0").withColumn("gram", F.explode(_grams(F.col("alias"))))
     others = phrases.filter(F.length("phrase") >= FUZZY_FROM - 1).join(exact.select("phrase"), "phrase", "left_anti")
+    edits = F.floor(F.length("alias") * FUZZY_SHARE / 0.4 + 1e-9)
+    of_length = F.abs(F.length("phrase") - F.length("alias")) <= edits
     grams = others.select("phrase", F.explode(_grams(F.col("phrase"))).alias("gram"))
-    shared = grams.join(F.broadcast(index), "gram").groupBy("phrase", "alias", "currency", "power", "grams").agg(F.count(F.lit(1)).alias("shared"))
-    # an edit of cost 0.4 or more destroys at most GRAM n-grams
-    edits = F.floor(F.length("alias") * FUZZY_SHARE / 0.4)
-    near = shared.filter((F.col("shared") >= F.greatest(F.lit(1), F.col("grams") - edits * GRAM)) & (F.abs(F.length("phrase") - F.length("alias")) <= edits))
+    shared = grams.join(F.broadcast(index), "gram").filter(of_length).groupBy("phrase", "alias", "currency", "power", "needed").agg(F.count(F.lit(1)).alias("shared"))
+    near = shared.filter("shared >= needed").select("phrase", "alias", "currency", "power")
+    if any(len(alias) >= FUZZY_FROM and _needed(alias) < 1 for alias, _, _ in lexicon()):
+        near = near.unionByName(others.join(F.broadcast(fuzzy.filter("needed < 1")), of_length).select("phrase", "alias", "currency", "power"))
     costed = near.withColumn("cost", _edit_cost("phrase", "alias")).filter(F.col("cost") <= F.length("alias") * FUZZY_SHARE)
     best = costed.groupBy("phrase").agg(F.min(F.struct("cost", F.length("alias").alias("n"), "alias", "currency", "power")).alias("b"))
     return exact.unionByName(best.select("phrase", "b.currency", "b.power", F.lit(False).alias("exact")))

@@ -137,6 +137,19 @@ def test_the_index_finds_all_that_brute_force_finds(spark):
     assert found == wanted
 
 
+def test_no_spelling_within_the_distance_is_lost(spark):
+    """Every swap of neighbours in every alias."""
+    known = {a for a, _, _ in units.lexicon()}
+    aliases = [a for a in known if len(a) >= units.FUZZY_FROM]
+    phrases = {a[:i] + a[i + 1] + a[i] + a[i + 2 :] for a in aliases for i in range(len(a) - 1)}
+    phrases = {" ".join(p.split()) for p in phrases | {"eruo", "rael", "pseo", "yaun", "cnet"}} - known
+    found = {r["phrase"]: r["currency"] for r in units.phrase_aliases(spark.createDataFrame([(p,) for p in phrases], "phrase string")).collect()}
+    wanted = {p for p in phrases if len(p) >= 3 and any(units.edit_cost(p, a, units.FUZZY_SHARE * len(a)) <= units.FUZZY_SHARE * len(a) for a in aliases)}
+    assert set(found) == wanted
+    assert units.edit_cost("eruo", "euro", 0.72) == units.edit_cost("rupee"[::-1], "eepru", 0.9) == 0.7
+    assert (found["eruo"], found["rael"], found["pseo"], found["yaun"]) == ("Euro", "Brazil Real", "Mexican Peso", "Yuan")
+
+
 def test_rounding_is_exact(spark, tables):
     raw = spark.createDataFrame([(1, "plain", DAY, "123456789012.345", "USD", None), (2, "plain", DAY, "0.005", "USD", None), (3, "plain", DAY, "-0.005", "USD", None), (4, "plain", DAY, "9" * 40, "USD", None)], RAW)
     out = {r["raw_id"]: r["usd_cents"] for r in units.to_common_units(raw, *tables).collect()}
