@@ -56,7 +56,7 @@ COMPOUND = {
     ("Bitcoin", -3): ["mbtc", "millibitcoin", "millibitcoins"],
     ("UK Pound", -2): ["pence sterling"],
 }
-#: Notes with one of these mention a unit of something else.
+#: Parts of notes with one of these mention a unit of something else.
 MENTIONS_ONLY = re.compile(r"counter ?value|quoted|shown|as well|equivalent|contravalor|also in|instead of|not in|\bex\b", re.I)
 #: In a feed's own description a unit counts only right after these words.
 PROFILE_LEADS = {"in", "in whole", "en", "em"}
@@ -154,10 +154,15 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (GRAM - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(GRAM))))
 
 
+def _split(spelling: str) -> list[str]:
+    """Words of a spelling; a comma or semicolon between letters ends one as well."""
+    return re.sub(r"(?<=[^\W\d_])([;,])(?=[^\W\d_])", r"\1 ", spelling).split()
+
+
 def _cut(spelling: str) -> list[tuple[int, int, str, str]]:
     """(position, words, folded phrase, words before) of all phrases of up to LONGEST_PHRASE words."""
     words: list[str] = []
-    for part in spelling.split():
+    for part in _split(spelling):
         bare = part.strip(_CLOSE)
         whole = part.strip("()[],;:\"'!?-/")  # keeps the full stop of "Rs."
         words.append(fold(whole if whole.endswith(".") and len(whole) <= 5 else bare))
@@ -205,16 +210,33 @@ def phrase_aliases(phrases: DataFrame) -> DataFrame:
     return exact.unionByName(best.select("phrase", "b.currency", "b.power", F.lit(False).alias("exact")))
 
 
+def _mentioned_only(words: list[str], stating: set[int]) -> set[int]:
+    """Places of the words in the parts of a note, cut at ``;`` and ``,``, that only mention a unit.
+
+    A part that is nothing but units and figures (``stating``) goes with the part before it.
+    """
+    out: set[int] = set()
+    start, dropped = 0, False
+    for i, word in enumerate(words):
+        if i + 1 < len(words) and not word.endswith((";", ",")):
+            continue
+        part = range(start, i + 1)
+        dropped = bool(MENTIONS_ONLY.search(" ".join(words[start : i + 1]))) or dropped and all(j in stating or "#" in words[j] for j in part)
+        out |= set(part) if dropped else set()
+        start = i + 1
+    return out
+
+
 def _resolve(field: str, spelling: str, mentions: list[tuple]) -> tuple[str | None, int | None]:
     """Currency and power of ten that one spelling states: the first of each kind.
 
     Exact phrases claim their words before near ones do, longer ones before shorter ones: "k us dollar" is not a
     misspelt "us dollar".
     """
-    if field == "note" and MENTIONS_ONLY.search(spelling):
-        return None, None
-    words = spelling.split()
+    words = _split(spelling)
     taken: set[int] = set()
+    if field == "note" and MENTIONS_ONLY.search(spelling):
+        taken = _mentioned_only(words, {i for at, size, *_ in mentions for i in range(at, at + size)})
     kept = []
     for at, size, phrase, lead, currency, power, exact in sorted(mentions, key=lambda m: (not m[6], -m[1], m[0])):
         if taken & set(range(at, at + size)) or not exact and field in ("note", "profile") and len(phrase) < FUZZY_TEXT_FROM:

@@ -150,6 +150,22 @@ def test_no_spelling_within_the_distance_is_lost(spark):
     assert (found["eruo"], found["rael"], found["pseo"], found["yaun"]) == ("Euro", "Brazil Real", "Mexican Peso", "Yuan")
 
 
+def test_only_the_part_of_a_note_that_mentions_is_dropped(spark, tables):
+    notes = [
+        ("USD", "figures in thousands; counter value quoted in Yen", 200000),
+        (None, "paid in Euro, receipt shown in Rupee as well", 300),
+        (None, "receipt shown in Rupee as well, paid in Euro", 300),
+        (None, "counter value quoted in Rupee; figures in thousands, currency EUR", 300000),
+        (None, "paid in Euro,receipt shown in Rupee as well", 300),
+        (None, "receipt shown in Rupee, Euro", None),
+        ("USD", "counter value, Yen 500", 200),
+        ("USD", "counter value quoted in thousands, Yen", 200),
+    ]
+    raw = spark.createDataFrame([(i, "plain", DAY, "2", currency, note) for i, (currency, note, _) in enumerate(notes)], RAW)
+    out = {r["raw_id"]: r["usd_cents"] for r in units.to_common_units(raw, *tables).collect()}
+    assert [out.get(i) for i in range(len(notes))] == [n[2] for n in notes]
+
+
 def test_rounding_is_exact(spark, tables):
     raw = spark.createDataFrame([(1, "plain", DAY, "123456789012.345", "USD", None), (2, "plain", DAY, "0.005", "USD", None), (3, "plain", DAY, "-0.005", "USD", None), (4, "plain", DAY, "9" * 40, "USD", None)], RAW)
     out = {r["raw_id"]: r["usd_cents"] for r in units.to_common_units(raw, *tables).collect()}
