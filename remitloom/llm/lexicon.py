@@ -42,6 +42,8 @@ marine optics paper foods""".split()
 
 STREETS_AFTER = "street st road rd avenue ave lane ln court ct drive dr blvd boulevard terrace ter way place pl square sq close crescent cres parkway pkwy highway hwy row mews grove".split()
 STREETS_SHORT = {"st", "rd", "ave", "ln", "ct", "dr", "blvd", "ter", "pl", "sq", "cres", "pkwy", "hwy"}
+#: Of these, everyday words: in capitals a long run of words before them is no street.
+STREETS_EVERYDAY = {"close", "way", "place", "row", "court", "square", "drive", "ct", "pl", "dr", "sq", "grove", "st", "ter"}
 STREETS_BEFORE = "calle c/ av avda avenida bv bvar bulevar camino cno pasaje pje paseo plaza carrera cra ruta diagonal callejón ronda rua travessa largo praça praca praceta calçada carretera alameda estrada ladeira beco rambla vía r trav tv lgo".split()
 #: Of these, the ones that need a full stop.
 STREETS_WITH_DOT = {"r", "trav", "tv", "lgo"}
@@ -55,6 +57,9 @@ social security number|tax id|tax identification number|tin|itin|ni number|nino|
 national id|nif|contribuinte|número de contribuinte|bilhete de identidade|cartão de cidadão|cartão de identidade|rg|cpf|bi|cédula|cédula de identidad|curp|rfc|rut
 seguridad social|número de seguridad social|segurança social|driver's licence|driving licence|driver's license""".replace("\n", "|").split("|")
 
+#: Of these, the ones whose numbers begin with letters of the name.
+ID_OF_NAME = {"curp", "rfc", "driver's licence", "driving licence", "driver's license"}
+
 PHONE_LABELS = """tel tel. tel: teléfono telefono telefone phone ph fax cell mobile móvil telemóvel celular text call llamar ligar whatsapp dialled dial""".split()
 #: A long number right after one of these is no phone.
 NUMBER_LABELS = """message mensaje mensagem case caso ticket trámite expediente chamado batch lote reference referencia referência ref alert alerta invoice factura

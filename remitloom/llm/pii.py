@@ -121,16 +121,18 @@ def _emails(text: str, anchors: list[tuple[int, int, str]]) -> Iterator[tuple[in
 
 # ---- identity numbers ------------------------------------------------------------------------------------------------
 
+_ID_LEAD = r"(?:\s|[.:=,#-]|n[°ºo]\.?|n\.\s?[°º]|nr[o.]?\.?|no\.?|num\.?|number|número|numero|is|es|é|was|era){0,8}?"
 _ID_NUMBER = re.compile(
-    r"(?:\s|[.:=,#-]|n[°ºo]\.?|n\.\s?[°º]|nr[o.]?\.?|no\.?|num\.?|number|número|numero|is|es|é|was|era){0,8}?"
-    r"(?P<n>(?:[a-z]{1,3}[ -]?)?\d{1,12}(?:[ ./-]?\d{1,9}){0,6}(?:[ -]?[a-z]{1,2}\d(?![^\W_])|[ -]?[a-z](?![^\W_]))?)(?![^\W_])",
+    _ID_LEAD + r"(?P<n>(?:[a-z]{1,3}[ -]?)?\d{1,12}(?:[ ./-]?\d{1,9}){0,6}(?:[ -]?[a-z]{1,2}\d(?![^\W_])|[ -]?[a-z](?![^\W_]))?)(?![^\W_])",
     re.I,
 )
+#: Numbers that begin with letters of the name: CURP, RFC, driving licences.
+_ID_OF_NAME = re.compile(_ID_LEAD + r"(?P<n>[a-zñ&][a-zñ&9]{2,4}[ -]?\d{6}(?:[^\W_]{1,10}|[ -](?=[^\W_]*\d)[^\W_]{2,10})?(?:[ -]\d{1,2}(?![^\W_]))?)(?![^\W_])", re.I)
 
 
 def _identity_numbers(text: str, anchors: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
-    for _, end, _ in anchors:
-        m = _ID_NUMBER.match(text, end)
+    for _, end, word in anchors:
+        m = word in L.ID_OF_NAME and _ID_OF_NAME.match(text, end) or _ID_NUMBER.match(text, end)
         if m and sum(c.isdigit() for c in m["n"]) >= 5 and not re.match(r"(?:tr|l)-?\d", m["n"], re.I):
             yield m.start("n"), m.end("n")
 
@@ -166,6 +168,8 @@ def _phones(text: str, low: str, anchors: list[tuple[int, int, str]]) -> Iterato
 # ---- street addresses ------------------------------------------------------------------------------------------------
 
 _NUMBER_AND_NAME = re.compile(r"(?<![\w.,/:#-])(\d{1,5}[a-z]?(?:\s?[-–/]\s?\d{1,5}[a-z]?)?),?[ _\u00a0]((?:[^\W\d_][\w'’.]*[ _\u00a0]){1,3})$", re.I)
+#: Longer names, as long as their words have capitals.
+_NUMBER_AND_LONG_NAME = re.compile(r"(?<![\w.,/:#-])(\d{1,5}[A-Za-z]?(?:\s?[-–/]\s?\d{1,5}[A-Za-z]?)?),?[ _\u00a0]([A-ZÀ-Þ][\w'’.]*[ _\u00a0](?:(?:[A-ZÀ-Þ][\w'’.]*|del?|las?|los|da|dos?|v[ao]n)[ _\u00a0]){3,8})$")
 _UNIT_AFTER = re.compile(r"(?:,?[ ](?:apt|unit|suite|ste|flat|apartment|room|rm)\.?[ ]?#?\w+|,?[ ]\d{1,3}(?:st|nd|rd|th)[ ]floor|,?[ ]floor[ ]\d+|,?[ ]?#[ ]?\w+)*", re.I)
 _STREET_WORD = r"(?:[^\W\d_][\w'’ªº]{0,3}\.|[^\W\d_][\w'’ªº]*)"
 _NAME_AND_NUMBER = re.compile(
@@ -179,6 +183,10 @@ _NO_STREET = {"of", "the", "to", "and", "in", "on", "from", "with", "for", "time
 def _addresses(text: str, low: str, found: dict) -> Iterator[tuple[int, int]]:
     for start, end, word in found["after"]:
         m = _NUMBER_AND_NAME.search(text, max(0, start - 64), start)
+        if not m:
+            m = _NUMBER_AND_LONG_NAME.search(text, max(0, start - 160), start)
+            if m and m.group(2).isupper() and word in L.STREETS_EVERYDAY:
+                continue
         if m and not _NO_STREET & set(m.group(2).lower().split()):
             yield m.start(), _UNIT_AFTER.match(text, end + (word in L.STREETS_SHORT and text[end : end + 1] == ".")).end()
     for start, end, word in found["before"]:

@@ -92,6 +92,22 @@ def test_capitals_tell_nothing_in_a_long_section_of_one_case():
     assert [(a, b) for a, b, _ in pii.find_mentions(text)] == spans
 
 
+@pytest.mark.parametrize(
+    ("kind", "marked"),
+    [
+        ("identity_number", "Titular con CURP ⟦GARC850101HDFRRL09⟧, RFC: ⟦GODE561231GR8⟧ y RFC ⟦GODE-561231-GR8⟧."),
+        ("identity_number", "driving licence ⟦MORGA657054SM9IJ⟧ was shown, driving licence no. ⟦MORGA 657054 SM9IJ 35⟧ too"),
+        ("identity_number", "driver's license ⟦D1234567⟧; RFC ⟦GODE561231⟧ was given"),
+        ("street_address", "Lives at ⟦500 Dr Martin Luther King Jr Blvd⟧ now, before at ⟦12 Juan Ponce de la Vega Avenue, Apt 5⟧."),
+        ("street_address", "MOVED TO ⟦500 DR MARTIN LUTHER KING JR BLVD⟧"),
+        (None, "PAID 500 EURO ACCOUNT STAYS OPEN PLEASE CLOSE. Paid 500 and then the desk went down the street"),
+    ],
+)
+def test_long_identity_numbers_and_streets(kind, marked):
+    text, spans = split(marked)
+    assert pii.find_mentions(text) == [(a, b, kind) for a, b in spans]
+
+
 def test_code_points_beyond_the_first_plane():
     assert pii.find_mentions("😀😀 ana@mail.example")[0][0] == 3
 
