@@ -81,6 +81,15 @@ missing unit feeds account origin confirmed open charges due times file extracto
 )
 
 
+#: Words that with a capital behind a given name or a title still are no family name.
+NO_FAMILY = NOT_GIVEN | set(ORGANISATION) | set(STREETS_AFTER) | set(STREETS_BEFORE) | set(TITLES) | STREET_HONOURS | PARTICLES | set(
+    """january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday
+    enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre janeiro fevereiro março maio junho julho setembro outubro novembro dezembro
+    dollar pound franc real peso riyal airport station branch office hotel hospital school university church park please was has had will is are were can may not team
+    support service department customer north south east west""".split()
+)
+
+
 def family_names() -> set[str]:
     """Every family name in the lists, the compounds included."""
     return {a + b for a, b in product(FAMILY_FIRST, FAMILY_LAST)} | set(FAMILY_COMMON)

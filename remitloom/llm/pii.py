@@ -231,6 +231,10 @@ def _sections(text: str) -> tuple[list[int], list[bool]]:
     return starts, mixed
 
 
+_AFTER_TITLE = re.compile(r"\.?[ \u00a0]+(?P<n>[A-ZÀ-Þ][^\W\d_'’]+(?:[ \u00a0-][A-ZÀ-Þ][^\W\d_'’]+){0,3})(?![^\W_]|[.@]\w)")
+_AFTER_GIVEN = re.compile(r"[ \u00a0](?:(?:de|del|da|do|dos|di|van|von|der|la|le|du)[ \u00a0]){0,2}(?P<f>[A-ZÀ-Þ][^\W\d_'’]+(?:-[A-ZÀ-Þ][^\W\d_'’]+)?)(?![^\W_]|[.@]\w)")
+
+
 class _Names:
     def __init__(self, text: str, low: str, found: dict):
         self.text, self.low, self.found = text, low, found
@@ -343,6 +347,11 @@ class _Names:
                 yield start, m.end()
                 done = m.end()
                 continue
+            n = _AFTER_GIVEN.match(self.text, end)
+            if n and self.capitalised(start, end) and self.unlisted_family(n.start("f"), n.end("f")):
+                yield start, n.end()
+                done = n.end()
+                continue
             gap = start
             while gap and self.text[gap - 1] in " .:\u00a0_":
                 gap -= 1
@@ -354,6 +363,31 @@ class _Names:
                 m = _AFTER_CUE.match(self.text, end)
                 if m and self.mixed(m.start("n")) and not self.looks_organised(m.start("n"), m.end("n")):
                     yield m.start("n"), m.end("n")
+            yield from self.after_titles()
+
+    def capitalised(self, start: int, end: int) -> bool:
+        """Whether a word has a capital and then small letters, in a section where that tells something."""
+        return self.mixed(start) and self.text[start].isupper() and self.text[start + 1 : end].islower()
+
+    def unlisted_family(self, start: int, end: int) -> bool:
+        """A capitalised word behind a given name or a title that can be a family name, and is not listed as anything else."""
+        words = self.low[start:end].split("-")
+        return self.capitalised(start, start + len(words[0])) and len(words[0]) > 2 and not L.NO_FAMILY & set(words) and not self.organisation_after(end) and self.text[end : end + 2] != " &"
+
+    def after_titles(self) -> Iterator[tuple[int, int]]:
+        """Unlisted names behind titles, up to the first word that can't be part of one."""
+        for start, end, _ in self.found["title"]:
+            m = _AFTER_TITLE.match(self.text, end) if self.mixed(end - 1) else None
+            if not m:
+                continue
+            stop = 0
+            for w in re.finditer(r"[^\W\d_]+", m["n"]):
+                a, b = m.start("n") + w.start(), m.start("n") + w.end()
+                if not self.capitalised(a, b) or b - a < 3 or self.low[a:b] in L.NO_FAMILY:
+                    break
+                stop = b
+            if stop and not self.organisation_after(stop) and self.text[stop : stop + 2] != " &":
+                yield m.start("n"), stop
 
     def looks_organised(self, start: int, end: int) -> bool:
         words = [w.rstrip(".") for w in re.split(r"[ \u00a0-]", self.low[start:end])]
@@ -394,7 +428,7 @@ def _find(text: str) -> list[tuple[int, int, str]]:
     add("identity_number", _identity_numbers(text, found["id"]))
     add("street_address", _addresses(text, low, found))
     add("phone", _phones(text, low, found["tel"]))
-    if found["family"] or found["given"] or found["cue"]:
+    if found["family"] or found["given"] or found["cue"] or found["title"]:
         add("person_name", _Names(text, low, found).spans())
     return sorted(taken)
 

@@ -108,6 +108,19 @@ def test_long_identity_numbers_and_streets(kind, marked):
     assert pii.find_mentions(text) == [(a, b, kind) for a, b in spans]
 
 
+@pytest.mark.parametrize(
+    "marked",
+    [
+        "Mr ⟦Kowalski⟧ said so. The desk told Dra. ⟦Zdenka Horvat⟧ that it holds.",
+        "Later ⟦Anna Kowalski⟧ called; ⟦Maria von Stolberg⟧ and ⟦David Szabo-Nagy⟧ did not.",
+        "Dear Sir, Please reply. Yes Sir Please reply. Anna May 5; Victoria Station and Grace Bank; Mr Bank",
+    ],
+)
+def test_unlisted_family_names_after_titles_and_given_names(marked):
+    text, spans = split(marked)
+    assert pii.find_mentions(text) == [(a, b, "person_name") for a, b in spans]
+
+
 def test_code_points_beyond_the_first_plane():
     assert pii.find_mentions("😀😀 ana@mail.example")[0][0] == 3
 
