@@ -50,7 +50,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p8_found")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return pii.mentions(table(spark, d, "documents")).select("doc_id", "span_start", "pii_kind")
+    return surrogates.replaced_mentions(table(spark, d, "documents"), EXAMPLE_KEY).select("doc_id", "span_start", "pii_kind")
 
 
 @query("p8_redacted")
@@ -58,6 +58,23 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return surrogates.without_personal_information(table(spark, d, "documents"), EXAMPLE_KEY)
 
 
+@query("p8_entities")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind: mentions, documents, different values and different surrogates."""
+    spans = surrogates.replaced_mentions(table(spark, d, "documents"), EXAMPLE_KEY)
+    per_value = spans.groupBy("pii_kind", "value", "surrogate").agg(F.count(F.lit(1)).alias("n"))
+    counted = per_value.groupBy("pii_kind").agg(F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("spellings"), F.countDistinct("surrogate").alias("surrogates"))
+    return counted
+
+
 @query("p8_counts")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return pii.mentions(table(spark, d, "documents")).groupBy("pii_kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"))
+
+
+@query("p8_round_trip", "SELECT CAST(NULL AS BIGINT) AS doc_id WHERE false")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose redacted text and found spans disagree: there must be none."""
+    docs = table(spark, d, "documents")
+    spans = pii.mentions(docs).select("doc_id", "span_start", "span_end", "pii_kind")
+    return surrogates.round_trip(docs, surrogates.without_personal_information(docs, EXAMPLE_KEY), spans)

@@ -1,52 +1,47 @@
-"""Word lists of the personal-information detector. All entries are fixed values, folded to lower case."""
+"""Word lists of the personal-information detector: fixed values, folded to lower case.
+
+Names of persons come from two list files of common names, which can be replaced by others; words that are ordinary come
+from the vocabulary of the public tokenizer.
+"""
 
 from __future__ import annotations
 
-from itertools import product
-
-#: Given names: common ones of the languages in the texts.
-GIVEN_FEMALE = """agnes alice alicia amanda ana andrea anita anna antonia beatrice beatriz benedita bruna camila carla carmen carolina
-catarina catherine cecilia clara claudia colette cristina dalia daniela delfina diana dolores elena elisa elizabeth ella emilia emma
-esther eva fatima fernanda florencia francisca gabriela gita gloria grace hannah hedda helena ilse ines inés ingrid irene isabel isabella
-jane jessica joana joanna josefina juana julia juliana karen karin kate laura leonor leticia lidia lourdes lucia lucía luisa luz maëlle maelle magdalena
-manuela marcela margaret margarita maria maría mariana marina marta martha mary matilde mercedes miriam mónica monica nadia nadine
-natalia nora olga olivia patricia paula pilar priya rachel raquel rebeca renata rita rosa rosario ruth sandra sara sarah silvia sofia
-sofía sonia sophie susana sylvia teodora teresa valentina vanessa vera verónica victoria wanda ximena yolanda zelda zofia""".split()
-GIVEN_MALE = """adrian alan albert alberto alejandro alexander alfonso alfredo álvaro andré andre andrés andrew antonio anthony arthur
-arturo aurelio benjamin bernardo brian bruno caio carlos césar charles christian christopher clemens cristian daniel david diego
-diogo domingo edgar eduardo edward emeka emilio enrique eric ernesto esteban felipe fergus fernando filipe francisco frank gabriel george
-gerardo gonzalo gustavo guillermo hans harold héctor henrique henry horacio hugo ignacio iñaki ivan iván jaime james javier jean joão joaquin joaquín
-john jorge josé jose joseph juan julián julio kevin leonardo leopold luis luiz manuel marcelo marco marcos mario mark martín martin mateo
-matthew maurício mauro michael miguel mirko nicolás nicholas nuno octavio oscar otis pablo patrick paul paulo pedro peter quentin rafael ramiro
-ramón raúl renato ricardo richard robert roberto rodrigo ruben rubén rui salvador samuel santiago sebastián sergio simon stefan stellan stephen
-steven thiago thomas timothy tomas tomás ulises vicente víctor walter william yusuf""".split()
-
-#: Family names that are compounds of two parts; the list is their product.
-FAMILY_FIRST = "almo brac cresp drask dunvel fael garvu hask ibrax jural kest lomba meln müss muss norvi osk palt quen rund sarpe tavis tröl trol urte varo vess wold yarro zant".split()
-FAMILY_LAST = "ardo drell elius éry ery guren hoff ibar kova lano mendi moor netti ñuela nuela orte ovrec puig quer reaux sson sti tegui thorpe vane vares wick zabal".split()
-#: Other common family names. Ones that are everyday words or parts of firms' names are left out.
-FAMILY_COMMON = """almeida álvarez alvarez anderson barbosa campbell carvalho castillo castro costa díaz diaz domínguez fernández fernandez ferreira
-flores garcía garcia gómez gomez gonçalves gonzález gonzalez gutiérrez harris hernández hernandez jackson jiménez johnson jones lopes lópez lopez
-martínez martinez méndez mendoza moreno morales muñoz navarro nguyen nunes oliveira ortega ortiz pereira pérez perez ramírez ramirez ramos ribeiro
-rivera robinson rodrigues rodríguez rodriguez romero ruiz sánchez sanchez santos silva smith sousa souza suárez taylor teixeira thompson torres
-vargas vázquez williams wilson""".split()
-
-TITLES = "mr mrs ms miss mx dr dra sr sra srta srto don doña dona senhor senhora señor señora doctor doctora doutor doutora prof profesor profesora professor sir lady eng ing lic".split()
-PARTICLES = {"de", "del", "da", "do", "dos", "das", "di", "van", "von", "der", "den", "la", "le", "du", "bin", "al"}
+import base64
+import os
+from functools import lru_cache
+from pathlib import Path
+
+from remitloom.llm.tokens import vocabulary_path
+
+#: Folder with ``given_names.txt`` and ``family_names.txt``: this variable, else the one in the package.
+NAMES_VARIABLE = "PERSON_NAMES_PATH"
+
+TITLES = set("mr mrs ms miss mx dr dra sr sra srta srto don doña dona senhor senhora señor señora doctor doctora doutor doutora prof profesor profesora professor sir lady ing lic herr frau madame monsieur".split())
+PARTICLES = {"de", "del", "da", "do", "dos", "das", "di", "van", "von", "der", "den", "la", "le", "du", "bin", "al", "los", "las", "ter", "ten", "zu"}
 #: Ranks and honours in names of streets.
 STREET_HONOURS = {"comandante", "general", "coronel", "capitán", "almirante", "presidente", "doutor", "san", "santa", "santo", "são"}
-#: Last words of names of banks and firms.
-ORGANISATION = """bank banco banca kasse savings trust mutual cooperative union credit holding merchant commercial llc ltd inc gmbh lda
-s.a s.a. s.r.l s.r.l. group partners co co. company corp plc freight milling textiles pharma timber logistics dairy tooling ceramics cables software
-marine optics paper foods""".split()
+#: Words in names of banks and firms.
+ORGANISATION = set(
+    """bank banks banco banca bancos kasse sparkasse caja caixa savings trust mutual cooperative cooperativa union credit holding holdings merchant commercial
+    llc ltd inc gmbh lda ag plc corp limited limitada ltda company compañía group grupo partners co co. corporation freight milling textiles pharma timber logistics dairy
+    tooling ceramics cables software marine optics paper foods industries systems services solutions consulting insurance seguros capital ventures energy motors airlines
+    foundation fundación university universidad universidade ministry ministerio ministério council s.a s.r.l""".split()
+)
+#: Of these, the ones that stand before the rest of the name.
+ORGANISATION_FIRST = {"banco", "banca", "caja", "caixa", "grupo", "compañía", "fundación", "universidad", "universidade", "ministerio", "ministério", "kasse", "sparkasse"}
 
 STREETS_AFTER = "street st road rd avenue ave lane ln court ct drive dr blvd boulevard terrace ter way place pl square sq close crescent cres parkway pkwy highway hwy row mews grove".split()
 STREETS_SHORT = {"st", "rd", "ave", "ln", "ct", "dr", "blvd", "ter", "pl", "sq", "cres", "pkwy", "hwy"}
 #: Of these, everyday words: in capitals a long run of words before them is no street.
 STREETS_EVERYDAY = {"close", "way", "place", "row", "court", "square", "drive", "ct", "pl", "dr", "sq", "grove", "st", "ter"}
-STREETS_BEFORE = "calle c/ av avda avenida bv bvar bulevar camino cno pasaje pje paseo plaza carrera cra ruta diagonal callejón ronda rua travessa largo praça praca praceta calçada carretera alameda estrada ladeira beco rambla vía r trav tv lgo".split()
+STREETS_BEFORE = "calle c/ av avda avenida bv bvar bulevar camino cno pasaje pje paseo plaza carrera cra ruta diagonal callejón ronda rua travessa largo praça praca praceta calçada carretera alameda estrada ladeira beco rambla vía via r trav tv lgo rue".split()
 #: Of these, the ones that need a full stop.
 STREETS_WITH_DOT = {"r", "trav", "tv", "lgo"}
+#: Ends of one-word names of streets.
+STREETS_END = ("straße", "strasse", "weg", "platz", "gasse", "allee", "straat", "laan", "gatan", "vägen", "gata")
+#: Phrases before an address.
+ADDRESS_CUES = """lives at|living at|resides at|residing at|residence|home address|address|posted to|registered at|moved to|mailed to|delivered to|vive en|domicilio|dirección|domiciliado en|se mudó a
+residente en|mora em|mora na|mora no|morada|endereço|residente em|mudou-se para""".replace("\n", "|").split("|")
 
 #: Words that stand before "at" without being part of an address, and the last parts of domains after which it may be one.
 BEFORE_AT = set("look looked arrive arrived arrives is was are were be been held back up down stay stays stayed meet met work works see seen page pages site online posted published available".split())
@@ -64,37 +59,71 @@ PHONE_LABELS = """tel tel. tel: teléfono telefono telefone phone ph fax cell mo
 #: A long number right after one of these is no phone.
 NUMBER_LABELS = """message mensaje mensagem case caso ticket trámite expediente chamado batch lote reference referencia referência ref alert alerta invoice factura
 fatura order orden pedido encomenda account cuenta conta transfer offset line línea linha id message_id client rows shares""".split()
+#: Country codes of two digits in the international numbering plan; 1 and 7 have one digit, all others three.
+COUNTRY_CODES_2 = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 #: Phrases right before a person's name.
-NAME_CUES = """beneficiary|beneficiario|beneficiário|beneficiaria|contact|contacto|contato|ask for|spoke with|according to|forwarded to|transfer to|held by|payee line reads|looks like|neither|nor
-hablé con|falei com|a nombre de|em nome de|in the name of|según|segundo|parece ser de|firma de|signed by|pago a|pagamento a|gift for|regalo para|presente para|car from|auto de|carro de|c/o
-on behalf of|attn|attention|dear|estimado|estimada|caro|cara""".replace("\n", "|").split("|")
-
-#: Words that stand before a family name, or with a capital at the start of a sentence, without being a given name.
-NOT_GIVEN = set(
-    """ser nombre nome firma parece cliente cuenta conta banco sobre hable falou saber favor a ao as at aviso and an account agent alert amount after against as ask address balance batch beneficiary beneficiario beneficiário bank by call caller card cc chamado client
-contact con com cuenta da das de del do dos dear domicilio depois desde después during el em en entre enviar for forwarded fax from firma falei hablé handle he holder
-il in is it items ir juan kind la las le los line login llamar ligar mobile morada mr neither next no nor not nobody o of on or os para payee pago pagamento pay phone por que reads reply
-regards responder said saludos says se segundo según she since so spoke tel telefone teléfono text than that the then this titular to transfer two un una under use varios we with without
-y e za ticket no se nem um uma bitcoin cash cheque wire ach yen yuan euro ruble rupee shekel rent alquiler renda gift regalo receipt invoice order queue desk rate bounced denies denied niega nega sept
-missing unit feeds account origin confirmed open charges due times file extracto extrato línea linha archivo nocturna semana check week weekly statement carga otra""".split()
-)
-
-
-#: Words that with a capital behind a given name or a title still are no family name.
-NO_FAMILY = NOT_GIVEN | set(ORGANISATION) | set(STREETS_AFTER) | set(STREETS_BEFORE) | set(TITLES) | STREET_HONOURS | PARTICLES | set(
-    """january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday
-    enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre janeiro fevereiro março maio junho julho setembro outubro novembro dezembro
-    dollar pound franc real peso riyal airport station branch office hotel hospital school university church park please was has had will is are were can may not team
-    support service department customer north south east west""".split()
+NAME_CUES = """beneficiary|beneficiario|beneficiário|beneficiaria|beneficiária|contact|contacto|contato|ask for|ask|spoke with|spoke to|talked to|according to|forwarded to|transfer to|held by|signed by|reported by|requested by
+made out to|payable to|payee|account holder|holder|client|cliente|customer|account of|signature of|neither|nor|hablé con|habló con|falei com|falou com|fale com|a nombre de|em nome de|in the name of|según|segundo|parece ser de
+firma de|firmado por|firmado|assinado por|assinado|pago a|pago de|pagamento a|gift for|regalo para|presente para|c/o|on behalf of|attn|attention|dear|estimado|estimada|caro|cara|my name is|mi nombre es|me llamo|meu nome é|i am
+kind regards|regards|saludos|atenciosamente|atentamente|sincerely|titular|lo atendió|pedida por|pedido por""".replace("\n", "|").split("|")
+#: Phrases right after one.
+NAME_FOLLOWS = "says|said|wrote|denies|claims|called|signed|dice que|dijo|niega|firmó|diz que|disse|nega|assinou".split("|")
+
+MONTHS_AND_CURRENCIES = set(
+    """january february march april may june july august september october november december enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre janeiro fevereiro março maio junho julho
+    setembro outubro novembro dezembro dollar dollars euro euros yen yuan peso pesos real reais pound pounds franc francs ruble rubles rupee rupees shekel riyal bitcoin usd eur""".split()
 )
-
-
-def family_names() -> set[str]:
-    """Every family name in the lists, the compounds included."""
-    return {a + b for a, b in product(FAMILY_FIRST, FAMILY_LAST)} | set(FAMILY_COMMON)
-
-
+#: Words of running text that the tokenizer's vocabulary lacks or that it has with a capital only: never part of a name.
+NO_NAME = set(
+    """a al algo alguien ambos ante antes así atención aunque aún bajo cada casi cierre como con contra copia cual cuando cuenta cuentas cuál de del desde después dice dos durante día días el ella ellas ellos en entre era es esa
+    ese eso esta estado estamos este esto están fue fueron ha había hablé habló han hasta hay hola hoy importe la las lo los luego línea lote mañana menos mensaje mensajes mes mi mientras mismo muy más nada ni ningún nos nosotros
+    nuestra nuestro nunca o orden otra otro para pendiente pero plazo poco por porque pues quedan que quien quién referencia saldo se sea según ser si sido sin sobre solo son su sus sí también tampoco tarjeta te tiene tienen titular
+    todo todos tras tres tu un una uno unos usted ya y às ao aos apenas após até cada caso cliente com como conta contas cópia da das de depois desde do dos durante e ela ele eles em entre era essa esse esta este está eu extrato fatura
+    foi foram há isso já lhe mais mas mensagem mensagens mesmo muito na nas nem nenhum no nos nossa nosso não nós num numa o ontem os ou outra outro para pela pelo por porque quando que quem saldo se sem ser seu sua são só também tem
+    titular um uma você à é cheque transferencia transferência referência pagamento pago pagos cobro firma cuota factura recibo oficina sucursal horario aviso novedad resumen extracto comprobante comprovante depósito comisión
+    january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre
+    diciembre lunes martes miércoles jueves viernes sábado domingo janeiro fevereiro março maio junho julho setembro outubro novembro dezembro segunda terça quarta quinta sexta
+    dollar dólar pound libra sterling franc franco real reais peso riyal ruble rouble rublo rupee rupia shekel yen yuan euro euros bitcoin cent swiss saudi mexican mexicano canadian australian british brazilian brazil american
+    indian israeli russian chinese japanese english spanish portuguese español inglés portugués ach wire swift iban bic usd eur gbp jpy cny inr brl mxn cad aud chf sar rub ils btc
+    airport station branch office hotel hospital school church park support service department customer client clients north south east west account accounts agent caller payee holder handle ticket alert batch invoice ref llc
+    hello dear thanks regards sincerely saludos atentamente atenciosamente estimado estimada caro cara gracias obrigado obrigada llamar ligar enviar adjuntar anexar responder domicilio morada endereço dirección telefone teléfono
+    beneficiary beneficiario beneficiário beneficiaria contact contacto contato passport pasaporte passaporte dni nif nie cuit cuil cpf rg ssn curp rfc tel fax info warn error debug utc gmt""".split()
+) | set(ID_LABELS) | set(STREETS_AFTER) | set(STREETS_BEFORE) | STREET_HONOURS
+
+
+def _names(file: str) -> list[list[str]]:
+    folder = os.environ.get(NAMES_VARIABLE)
+    lines = (Path(folder) if folder else Path(__file__).parent / "data").joinpath(file).read_text(encoding="utf-8").lower().splitlines()
+    return [line.split() for line in lines if line and not line.startswith("#")]
+
+
+@lru_cache(maxsize=1)
+def family_names() -> frozenset[str]:
+    return frozenset(w for line in _names("family_names.txt") for w in line if w not in PARTICLES)
+
+
+@lru_cache(maxsize=1)
 def given_names() -> dict[str, str]:
-    """Given name -> ``f`` or ``m``."""
-    return {**dict.fromkeys(GIVEN_FEMALE, "f"), **dict.fromkeys(GIVEN_MALE, "m")}
+    """Given name -> ``f`` or ``m``; a name listed under both is ``f``."""
+    found: dict[str, str] = {}
+    for gender, *names in _names("given_names.txt"):
+        for name in names:
+            found.setdefault(name, gender)
+    return found
+
+
+@lru_cache(maxsize=2)
+def vocabulary(path: str | None = None) -> tuple[frozenset[str], frozenset[str]]:
+    """Whole words of the public tokenizer's vocabulary: those it has in lower case, and those it has with a capital only."""
+    small, capital = set(), set()
+    with open(path or vocabulary_path(), "rb") as lines:
+        for line in lines:
+            word = base64.b64decode(line.split()[0]).decode("utf-8", "ignore")
+            if len(word) > 2 and word[0] == " " and word[1:].isalpha():
+                word = word[1:]
+                if word.islower():
+                    small.add(word)
+                elif word[0].isupper() and word[1:].islower():
+                    capital.add(word.lower())
+    return frozenset(small), frozenset(capital - small)

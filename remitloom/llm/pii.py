@@ -2,14 +2,15 @@
 
 One pass of an Aho-Corasick automaton over the folded text finds all anchors - signs of e-mail addresses, labels of
 identity numbers, words for streets, names and titles - and rules look only around anchors; telephone numbers are
-found by their shapes. A text costs time in proportion to its length, and is never cut.
+found by their shapes, names of persons as :mod:`remitloom.llm.names` says. A text costs time in proportion to its
+length, and is never cut; where a rule looks back, it goes word by word, however long the words are.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from remitloom.llm import lexicon as L
+from remitloom.llm.names import Names
 
 KINDS = ("email", "phone", "identity_number", "street_address", "person_name")
 
@@ -59,7 +61,10 @@ def _automaton():
         ("given", L.given_names()),
         ("title", L.TITLES),
         ("cue", L.NAME_CUES),
+        ("follow", L.NAME_FOLLOWS),
         ("tel", L.PHONE_LABELS),
+        ("home", L.ADDRESS_CUES),
+        ("end", L.STREETS_END),
     ):
         for entry in entries:
             words.setdefault(entry, set()).add(kind)
@@ -72,7 +77,7 @@ def _automaton():
 
 def _anchors(low: str) -> dict[str, list[tuple[int, int, str]]]:
     """Kind -> (start, end, word) of whole words, in order; an underscore is no part of a word (scans put it for blanks)."""
-    found: dict[str, list[tuple[int, int, str]]] = {k: [] for k in ("at", "id", "after", "before", "family", "given", "title", "cue", "tel")}
+    found: dict[str, list[tuple[int, int, str]]] = {k: [] for k in ("at", "id", "after", "before", "family", "given", "title", "cue", "follow", "tel", "home", "end")}
     size = len(low)
     for last, (word, kinds) in _automaton().iter(low):
         end = last + 1
@@ -80,6 +85,8 @@ def _anchors(low: str) -> dict[str, list[tuple[int, int, str]]]:
         if "at" in kinds:
             found["at"].append((start, end, word))
             continue
+        if "end" in kinds and start and low[start - 1].isalpha() and not low[end : end + 1].isalnum():
+            found["end"].append((start, end, word))
         if start and low[start - 1].isalnum() or end < size and low[end].isalnum() and word[-1].isalnum():
             continue
         for kind in kinds:
@@ -89,9 +96,20 @@ def _anchors(low: str) -> dict[str, list[tuple[int, int, str]]]:
 
 # ---- e-mail ----------------------------------------------------------------------------------------------------------
 
-_LOCAL = re.compile(r"(?<![\w.+%-])[^\W_](?:[\w.+%'-]*[\w+%'-])?$")
+_LOCAL_SIGNS = frozenset(".+%'-_")
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|punto|ponto|\.)\s?[\])}]\s?|\s(?:dot|punto|ponto)\s)"
 _DOMAIN = re.compile(rf"[^\W_](?:[\w-]*[^\W_])?(?:{_DOT}[^\W_](?:[\w-]*[^\W_])?)*{_DOT}[^\W\d_]{{2,24}}(?![\w-])", re.I)
+_SPOKEN_DOT = re.compile(r"\W(?:dot|punto|ponto)\W", re.I)
+
+
+def _local_part(text: str, end: int) -> int | None:
+    """Start of the local part that ends at ``end``: letters, digits and signs, a letter or digit first."""
+    at = end
+    while at and (text[at - 1].isalnum() or text[at - 1] in _LOCAL_SIGNS):
+        at -= 1
+    while at < end and not text[at].isalnum():
+        at += 1
+    return at if at < end and text[end - 1] != "." else None
 
 
 def _emails(text: str, anchors: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
@@ -107,23 +125,24 @@ def _emails(text: str, anchors: list[tuple[int, int, str]]) -> Iterator[tuple[in
             right += 1
         if start - left > 1 or right - end > 1:
             continue
-        local = _LOCAL.search(text, max(0, left - 80), left)
-        domain = _DOMAIN.match(text, right) if local else None
-        if not domain:
+        domain = _DOMAIN.match(text, right)
+        begin = _local_part(text, left) if domain else None
+        if begin is None:
             continue
-        if word == " at " and not re.search(r"[\d._+-]", local.group()):
+        local, name = text[begin:left], domain.group()
+        if word == " at " and not _SPOKEN_DOT.search(name) and not re.search(r"[\d._+-]", local):
             # "look at this.example"
-            if local.group().lower() in L.BEFORE_AT or domain.group().lower().rpartition(".")[2] not in L.TOP_DOMAINS or domain.group()[-1].islower() and "." in domain.group() and domain.group().rpartition(".")[2][:1].isupper():
+            if local.lower() in L.BEFORE_AT or name.lower().rpartition(".")[2] not in L.TOP_DOMAINS or name[-1].islower() and name.rpartition(".")[2][:1].isupper():
                 continue
         last = domain.end()
-        yield local.start(), last
+        yield begin, last
 
 
 # ---- identity numbers ------------------------------------------------------------------------------------------------
 
 _ID_LEAD = r"(?:\s|[.:=,#-]|n[°ºo]\.?|n\.\s?[°º]|nr[o.]?\.?|no\.?|num\.?|number|número|numero|is|es|é|was|era){0,8}?"
 _ID_NUMBER = re.compile(
-    _ID_LEAD + r"(?P<n>(?:[a-z]{1,3}[ -]?)?\d{1,12}(?:[ ./-]?\d{1,9}){0,6}(?:[ -]?[a-z]{1,2}\d(?![^\W_])|[ -]?[a-z](?![^\W_]))?)(?![^\W_])",
+    _ID_LEAD + r"(?<![^\W\d_])(?P<n>(?:(?!(?:is|es|was|era|no|nr|num|nro)\b)[a-z]{1,3}[ -]?)?\d{1,12}(?:[ ./-]?\d{1,9}){0,6}(?:[ -]?[a-z]{1,2}\d(?![^\W_])|[ -]?[a-z](?![^\W_]))?)(?![^\W_])",
     re.I,
 )
 #: Numbers that begin with letters of the name: CURP, RFC, driving licences.
@@ -143,23 +162,37 @@ _PHONE = re.compile(
     r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,13}(?!\d)(?:[ ]?(?:x|ext\.?|int\.?)[ ]?\d{1,6}(?!\d))?"
     r"|\(\d{2,4}\)[ ]?\d{2,5}[ .-]\d{3,6}(?!\d)(?:[ ]?(?:x|ext\.?)[ ]?\d{1,6}(?!\d))?"
     r"|(?<![\w.,/:+(-])(?:(?:1[ .-])?\d{3}([.-])\d{3}\1\d{4}(?:[ ]?(?:x|ext\.?)[ ]?\d{1,6}(?!\d))?"
-    r"|00[1-9]\d{9,13}|1[2-9]\d{2}[2-9]\d{6}|0\d{3,4} \d{3} \d{3}|0\d{4} \d{6}|0\d{2} \d{4} \d{4}|0\d{2,3} \d{3,4}-\d{4}|0\d(?: \d{2}){4})(?![\w]|[./-]\d)"
+    r"|00[1-9](?:[ .-]?\d){9,13}|1[2-9]\d{2}[2-9]\d{6}|0\d{3,4} \d{3} \d{3}|0\d{4} \d{6}|0\d{2} \d{4} \d{4}|0\d{2,3} \d{3,4}-\d{4}|0\d(?: \d{2}){4})(?![\w]|[./-]\d)"
 )
 _AFTER_LABEL = re.compile(r"(?:\s|[.:#-]|al?\b|para\b|on\b|to\b|no\.?|number\b|número\b|back\b|of\b){0,6}?(?P<n>[+(]?\d(?:[ ()./-]{0,2}\d){6,14})(?![\w])", re.I)
-_LABEL_BEFORE = re.compile(r"([^\W\d_][\w]*)[ .:#=º°]*$")
+
+
+def _label_before(low: str, at: int) -> str:
+    """The word before a place, signs of labels between them aside."""
+    while at and low[at - 1] in " .:#=º°":
+        at -= 1
+    end = at
+    while at and (low[at - 1].isalnum() or low[at - 1] == "_"):
+        at -= 1
+    return low[at:end]
+
+
+def _overlaps(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether ``spans``, in order and apart, have something between two places."""
+    i = bisect_left(spans, (end,))
+    return i > 0 and spans[i - 1][1] > start
 
 
 def _phones(text: str, low: str, anchors: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
     spans = []
     for m in _PHONE.finditer(text):
-        before = _LABEL_BEFORE.search(low, max(0, m.start() - 24), m.start())
-        if before and before.group(1) in L.NUMBER_LABELS and text[m.start()] not in "+(":
+        if text[m.start()] not in "+(" and _label_before(low, m.start()) in L.NUMBER_LABELS:
             continue
         spans.append((m.start(), m.end()))
         yield spans[-1]
     for _, end, _ in anchors:
         m = _AFTER_LABEL.match(text, end)
-        if m and not any(a < m.end("n") and m.start("n") < b for a, b in spans):
+        if m and not _overlaps(spans, m.start("n"), m.end("n")):
             digits = sum(c.isdigit() for c in m["n"])
             if 7 <= digits <= 15 and not re.match(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?!\d)|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}(?!\d)", m["n"]):
                 yield m.start("n"), m.end("n")
@@ -180,11 +213,26 @@ _NAME_AND_NUMBER = re.compile(
 _NO_STREET = {"of", "the", "to", "and", "in", "on", "from", "with", "for", "times", "days", "items", "rows", "messages", "accounts", "credits", "payments", "por", "que", "con", "com"}
 
 
+def _words_back(text: str, at: int, words: int) -> int:
+    """Where the last ``words`` words before a place begin, however long they are."""
+    for _ in range(words):
+        while at and text[at - 1] in " _\u00a0":
+            at -= 1
+        while at and text[at - 1] not in " _\u00a0\n":
+            at -= 1
+    return at
+
+
+_HOUSE_NUMBER = re.compile(r",?[ _\u00a0](?:nr\.?[ ]?)?\d{1,5}[a-z]?(?![\w]|[.,]\d{3})", re.I)
+_NUMBER_BEFORE = re.compile(r"(?<![\w.,/:#-])\d{1,5}[a-z]?,?[ _\u00a0]$", re.I)
+_AT_HOME = re.compile(r"(?::|[ ]is|[ ]es|[ ]é|[ ]en|[ ]em|[ ]at)?[ \u00a0]+(?P<a>\d{1,5}[A-Za-z]?,?(?:[ ][A-ZÀ-Þ][\w'’]+){1,4}|[A-ZÀ-Þ][\w'’]+(?:[ ](?:[A-ZÀ-Þ][\w'’]+|de|del|la|los|das?|dos?)){0,4},?[ ]\d{1,5}[A-Za-z]?)(?![\w]|[.,:/-]\d)")
+
+
 def _addresses(text: str, low: str, found: dict) -> Iterator[tuple[int, int]]:
     for start, end, word in found["after"]:
-        m = _NUMBER_AND_NAME.search(text, max(0, start - 64), start)
+        m = _NUMBER_AND_NAME.search(text, _words_back(text, start, 5), start)
         if not m:
-            m = _NUMBER_AND_LONG_NAME.search(text, max(0, start - 160), start)
+            m = _NUMBER_AND_LONG_NAME.search(text, _words_back(text, start, 13), start)
             if m and m.group(2).isupper() and word in L.STREETS_EVERYDAY:
                 continue
         if m and not _NO_STREET & set(m.group(2).lower().split()):
@@ -193,208 +241,18 @@ def _addresses(text: str, low: str, found: dict) -> Iterator[tuple[int, int]]:
         m = _NAME_AND_NUMBER.match(text, end)
         if m and not ({"por", "que", "con", "com", "the", "y"} & set(m["name"].lower().split())) and (low[end : end + 1] == "." != low[start - 1 : start] if word in L.STREETS_WITH_DOT else word == "c/" or low[end : end + 1] in ". _\u00a0"):
             yield start, m.end()
-
-
-# ---- names of persons ------------------------------------------------------------------------------------------------
-
-_LEFT = re.compile(r"(?<![^\W_])([^\W\d_][^\W\d_'’]*\.?)([ \u00a0_-])$")
-_RIGHT = re.compile(r"([ \u00a0_-])([^\W\d_][^\W\d_'’]*\.?)(?![^\W_])")
-_COMMA_RIGHT = re.compile(r",[ \u00a0]([^\W\d_][^\W\d_'’]*\.?)(?![^\W_])")
-_SPOKEN = re.compile(r"(?:[bcdfghjklmnpqrstvwxyz][aeiou]){1,4}[bcdfghjklmnpqrstvwxyz]?$")
-_INITIAL = re.compile(r"[^\W\d_]\.$")
-_AFTER_CUE = re.compile(
-    r":?[ \u00a0]+(?:(?i:mr|mrs|ms|dr|dra|sr|sra|don|doña|dona)\b\.?[ \u00a0]+)?(?P<n>[A-ZÀ-Þ][^\W\d_'’]+(?:[ \u00a0-][A-ZÀ-Þ][^\W\d_'’]+){1,3}|[A-ZÀ-Þ][^\W\d_]+[ \u00a0][A-ZÀ-Þ]\.|[A-ZÀ-Þ]\.[ \u00a0][A-ZÀ-Þ][^\W\d_]+)(?![^\W_]|[.@]\w)"
-)
-
-
-#: Whole words of one case, in a text where U stands for capitals, l for small letters and a blank for all else, and from
-#: how many letters on they are a section of their own.
-_ONE_CASE = re.compile(r"(?<![Ul])(?:U[U ]*|l[l ]*)(?![Ul])")
-_CAPITALS_FROM, _SMALL_FROM = 40, 200
-
-
-def _sections(text: str) -> tuple[list[int], list[bool]]:
-    """Starts of the sections of the whole text, and whether each is in mixed case, so that capitals tell something.
-
-    Long stretches of one case are sections of their own, as is what stands between them; a single capital between
-    them makes no mixed case.
-    """
-    cases = "".join(["U" if c.isupper() else "l" if c.islower() else " " for c in text])
-    cuts = {0}
-    for m in _ONE_CASE.finditer(cases):
-        if m.end() - m.start() >= _CAPITALS_FROM and len(m.group()) - m.group().count(" ") >= (_CAPITALS_FROM if cases[m.start()] == "U" else _SMALL_FROM):
-            cuts |= {m.start(), m.end()}
-    starts, mixed = sorted(cuts), []
-    for start, end in zip(starts, [*starts[1:], len(text)]):
-        upper, lower = cases.count("U", start, end), cases.count("l", start, end)
-        mixed.append(0.005 < upper / max(upper + lower, 1) < 0.6 and (upper > 1 or len(starts) == 1))
-    return starts, mixed
-
-
-_AFTER_TITLE = re.compile(r"\.?[ \u00a0]+(?P<n>[A-ZÀ-Þ][^\W\d_'’]+(?:[ \u00a0-][A-ZÀ-Þ][^\W\d_'’]+){0,3})(?![^\W_]|[.@]\w)")
-_AFTER_GIVEN = re.compile(r"[ \u00a0](?:(?:de|del|da|do|dos|di|van|von|der|la|le|du)[ \u00a0]){0,2}(?P<f>[A-ZÀ-Þ][^\W\d_'’]+(?:-[A-ZÀ-Þ][^\W\d_'’]+)?)(?![^\W_]|[.@]\w)")
-
-
-class _Names:
-    def __init__(self, text: str, low: str, found: dict):
-        self.text, self.low, self.found = text, low, found
-        self.starts, self.in_mixed = _sections(text)
-        self.family = {(s, e) for s, e, _ in found["family"]}
-        self.given = {(s, e) for s, e, _ in found["given"]}
-        self.family_at = {s for s, _ in self.family}
-        self.given_at = {s for s, _ in self.given}
-
-    def mixed(self, at: int) -> bool:
-        """Whether the section around a place is in mixed case."""
-        return self.in_mixed[bisect_right(self.starts, at) - 1]
-
-    def unknown_given(self, start: int, end: int, capitals: bool = False) -> bool:
-        """A word of no list that looks like a given name: a capital in mixed text, a speakable invention elsewhere."""
-        word = self.low[start:end].rstrip(".")
-        if word in L.NOT_GIVEN or word in L.TITLES or word in L.STREET_HONOURS or word in L.ORGANISATION or len(word) < 3:
-            return False
-        if self.mixed(start):
-            shape = self.text[start].isupper() and self.text[start + 1 : end].islower() or capitals and self.text[start:end].isupper()
-            return shape and not self.text[start:end].endswith(".")
-        return bool(_SPOKEN.match(word))
-
-    def is_family(self, start: int, end: int) -> bool:
-        return (start, end) in self.family or self.text[end - 1] == "." and (start, end - 1) in self.family
-
-    def left(self, start: int, end: int) -> int:
-        known = False
-        while True:
-            m = _LEFT.search(self.text, max(0, start - 32), start)
-            if not m:
-                return start
-            span, word = (m.start(1), m.end(1)), self.low[m.start(1) : m.end(1)]
-            if span in self.family or span in self.given:
-                if self.text[span[0] - 1 : span[0]] in ("@", "+", "."):
-                    return start
-                start, known = span[0], known or span in self.given
-            elif m.group(2) == "-":
-                return start
-            elif _INITIAL.match(word):
-                start = span[0]
-            elif word in L.PARTICLES:
-                n = _LEFT.search(self.text, max(0, span[0] - 32), span[0])
-                if not n or not ((n.start(1), n.end(1)) in self.given or _INITIAL.match(self.low[n.start(1) : n.end(1)]) or self.unknown_given(n.start(1), n.end(1))):
-                    return start
-                return n.start(1)
-            elif not known and self.unknown_given(*span, self.text[start:end].isupper()):
-                return span[0]
-            else:
-                return start
-
-    def right(self, end: int, bare: bool) -> int:
-        while True:
-            m = _RIGHT.match(self.text, end)
-            if m and self.is_family(m.start(2), m.end(2)):
-                end = m.end() - (m.group(2)[-1] == ".")
-                continue
-            if m and m.group(1) != "-" and (_INITIAL.match(m.group(2)) and (not self.mixed(m.start(2)) or m.group(2)[0].isupper()) and self.low[m.start(2)] not in "yeo"):
-                return m.end()
-            n = _COMMA_RIGHT.match(self.text, end) if bare else None
-            stop = n.end() - (n.group(1)[-1] == "." and len(n.group(1)) > 2) if n else 0
-            if n and ((n.start(1), stop) in self.given or _INITIAL.match(n.group(1)) or self.mixed(n.start(1)) and self.unknown_given(n.start(1), stop) and _SPOKEN.match(self.low[n.start(1) : stop])):
-                return end if self.begins_a_name(n.end()) else stop
-            return end
-
-    def begins_a_name(self, end: int) -> bool:
-        """Whether a family name, or an initial and one, stands right behind: then what ends here is another person's given name."""
-        m = _RIGHT.match(self.text, end)
-        if m and _INITIAL.match(m.group(2)):
-            m = _RIGHT.match(self.text, m.end())
-        return bool(m) and self.is_family(m.start(2), m.end(2))
-
-    def organisation_after(self, end: int) -> bool:
-        m = _RIGHT.match(self.text, end)
-        return bool(m) and self.low[m.start(2) : m.end(2)].rstrip(".") in L.ORGANISATION
-
-    def spans(self) -> Iterator[tuple[int, int]]:
-        done = -1
-        title_ends = {e for _, e, _ in self.found["title"]}
-        cue_ends = {e for _, e, _ in self.found["cue"]}
-        for start, end in sorted(self.family | self.given):
-            if start < done:
-                continue
-            if self.text[start - 1 : start] in ("@", "+", ".") and start or self.text[end : end + 1] in ("@", "+") or re.match(r"\.\w", self.text[end : end + 2]):
-                continue
-            if (start, end) in self.family:
-                a = self.left(start, end)
-                b = self.right(end, a == start)
-                before = _LEFT.search(self.text, max(0, a - 32), a)
-                if before and self.low[before.start(1) : before.end(1)] in L.STREET_HONOURS and self.low[before.start(1) : before.end(1)] not in L.TITLES:
-                    continue
-                if self.organisation_after(b):
-                    continue
-                yield a, b
-                done = b
-                continue
-            # a given name: with a family name or an initial behind it, else only after a title or a phrase for persons
-            m = _RIGHT.match(self.text, end)
-            nxt = (m.start(2), m.end(2)) if m else None
-            if m and self.is_family(*nxt):
-                continue  # found from the family name
-            if m and self.low[nxt[0] : nxt[1]] in L.PARTICLES:
-                n = _RIGHT.match(self.text, m.end())
-                if n and self.is_family(n.start(2), n.end(2)):
-                    continue
-            if m and _INITIAL.match(m.group(2)) and (not self.mixed(m.start(2)) or m.group(2)[0].isupper()):
-                n = _RIGHT.match(self.text, m.end())
-                if n and self.is_family(n.start(2), n.end(2)):
-                    continue
-                yield start, m.end()
-                done = m.end()
-                continue
-            n = _AFTER_GIVEN.match(self.text, end)
-            if n and self.capitalised(start, end) and self.unlisted_family(n.start("f"), n.end("f")):
-                yield start, n.end()
-                done = n.end()
-                continue
-            gap = start
-            while gap and self.text[gap - 1] in " .:\u00a0_":
-                gap -= 1
-            if (gap in title_ends or gap in cue_ends or gap + 1 in title_ends) and not self.organisation_after(end):
-                yield start, end
-                done = end
-        if any(self.in_mixed):
-            for _, end, _ in self.found["cue"]:
-                m = _AFTER_CUE.match(self.text, end)
-                if m and self.mixed(m.start("n")) and not self.looks_organised(m.start("n"), m.end("n")):
-                    yield m.start("n"), m.end("n")
-            yield from self.after_titles()
-
-    def capitalised(self, start: int, end: int) -> bool:
-        """Whether a word has a capital and then small letters, in a section where that tells something."""
-        return self.mixed(start) and self.text[start].isupper() and self.text[start + 1 : end].islower()
-
-    def unlisted_family(self, start: int, end: int) -> bool:
-        """A capitalised word behind a given name or a title that can be a family name, and is not listed as anything else."""
-        words = self.low[start:end].split("-")
-        return self.capitalised(start, start + len(words[0])) and len(words[0]) > 2 and not L.NO_FAMILY & set(words) and not self.organisation_after(end) and self.text[end : end + 2] != " &"
-
-    def after_titles(self) -> Iterator[tuple[int, int]]:
-        """Unlisted names behind titles, up to the first word that can't be part of one."""
-        for start, end, _ in self.found["title"]:
-            m = _AFTER_TITLE.match(self.text, end) if self.mixed(end - 1) else None
-            if not m:
-                continue
-            stop = 0
-            for w in re.finditer(r"[^\W\d_]+", m["n"]):
-                a, b = m.start("n") + w.start(), m.start("n") + w.end()
-                if not self.capitalised(a, b) or b - a < 3 or self.low[a:b] in L.NO_FAMILY:
-                    break
-                stop = b
-            if stop and not self.organisation_after(stop) and self.text[stop : stop + 2] != " &":
-                yield m.start("n"), stop
-
-    def looks_organised(self, start: int, end: int) -> bool:
-        words = [w.rstrip(".") for w in re.split(r"[ \u00a0-]", self.low[start:end])]
-        follow = _RIGHT.match(self.text, end)
-        if follow and self.low[follow.start(2) : follow.end(2)].rstrip(".") in L.ORGANISATION or self.text[end : end + 2] == " &":
-            return True
-        return any(w in L.ORGANISATION or w in L.NOT_GIVEN or w in L.STREETS_BEFORE for w in words)
+    for start, end, _ in found["end"]:  # one-word names: the number stands behind or before
+        while start and text[start - 1].isalpha():
+            start -= 1
+        after, before = _HOUSE_NUMBER.match(text, end), _NUMBER_BEFORE.search(text, _words_back(text, start, 2), start)
+        if after and low[start:end] not in L.STREETS_END:
+            yield start, after.end()
+        elif before and text[start].isupper():
+            yield before.start(), end
+    for _, end, _ in found["home"]:  # no word for a street at all, but a phrase before an address
+        m = _AT_HOME.match(text, end)
+        if m and not {w.lower() for w in re.findall(r"[^\W\d_]+", m["a"])} & (L.ORGANISATION | L.MONTHS_AND_CURRENCIES):
+            yield m.start("a"), m.end("a")
 
 
 # ---- all kinds -------------------------------------------------------------------------------------------------------
@@ -417,20 +275,21 @@ def find_mentions(text: str | None) -> list[tuple[int, int, str]]:
 def _find(text: str) -> list[tuple[int, int, str]]:
     low = fold(text)
     found = _anchors(low)
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int]] = []
+    kinds: dict[tuple[int, int], str] = {}
 
     def add(kind: str, spans: Iterator[tuple[int, int]]) -> None:
-        for a, b in spans:
-            if not any(a < y and x < b for x, y, _ in taken):
-                taken.append((a, b, kind))
+        for span in list(spans):
+            if not _overlaps(taken, *span):
+                insort(taken, span)
+                kinds[span] = kind
 
     add("email", _emails(text, found["at"]))
     add("identity_number", _identity_numbers(text, found["id"]))
     add("street_address", _addresses(text, low, found))
     add("phone", _phones(text, low, found["tel"]))
-    if found["family"] or found["given"] or found["cue"] or found["title"]:
-        add("person_name", _Names(text, low, found).spans())
-    return sorted(taken)
+    add("person_name", Names(text, low, found, list(taken)).spans())
+    return [(a, b, kinds[a, b]) for a, b in taken]
 
 
 def mentions(docs: DataFrame) -> DataFrame:
