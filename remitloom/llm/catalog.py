@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitloom.llm import mixing, packing, pii, surrogates
+from remitloom.functions import scalars as X
+from remitloom.llm import mixing, packing, pii, surrogates, topn
+from remitloom.params import DEFAULTS as P
+from remitloom.plans.catalog import _BANK as BANK_SQL
+from remitloom.plans.catalog import tx
 from remitloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +30,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("p4_found", f"""WITH t AS (SELECT {BANK_SQL} AS bank_id, transfer_id, account_origin, amount_received FROM bank_transactions
+  WHERE account_origin IS NOT NULL AND amount_received IS NOT NULL AND NOT isnan(amount_received) AND receiving_currency = 'US Dollar' AND transfer_id IS NOT NULL),
+  once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bank_id, transfer_id ORDER BY amount_received DESC, account_origin) AS c FROM t WHERE bank_id IS NOT NULL) WHERE c = 1)
+  SELECT bank_id, CAST(rn AS INTEGER) AS item_rank, transfer_id FROM (SELECT *, row_number() OVER (PARTITION BY bank_id ORDER BY amount_received DESC, account_origin, transfer_id) AS rn FROM once) WHERE rn <= 5""")
+def _(spark, d):
+    rows = tx(spark, d).filter(F.col("receiving_currency") == P.usd_name)
+    items = rows.select(X.bank_number(F.col("from_bank")).alias("grp"), X.number(F.col("amount_received")).alias("score"), F.col("account_origin").alias("tie"), F.col("transfer_id").alias("item"))
+    best = topn.top_n_per_group(items.dropna(), 5)
+    return best.select(F.col("grp").alias("bank_id"), "item_rank", F.col("item").alias("transfer_id"))
+
+
 @query("p6_containers")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_containers(table(spark, d, "documents"), table(spark, d, "container_specs"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import os
 from functools import lru_cache
+from importlib.resources import files
 from pathlib import Path
 
 from remitloom.llm.tokens import vocabulary_path
@@ -94,7 +95,8 @@ NO_NAME = set(
 
 def _names(file: str) -> list[list[str]]:
     folder = os.environ.get(NAMES_VARIABLE)
-    lines = (Path(folder) if folder else Path(__file__).parent / "data").joinpath(file).read_text(encoding="utf-8").lower().splitlines()
+    where = Path(folder) if folder else files("remitloom.llm").joinpath("data")  # inside a zip as well
+    lines = where.joinpath(file).read_text(encoding="utf-8").lower().splitlines()
     return [line.split() for line in lines if line and not line.startswith("#")]
 
 

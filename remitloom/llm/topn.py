@@ -14,7 +14,7 @@ from remitloom.sources.shared import written
 
 _SCHEMA = "grp bigint, score double, tie string, item bigint, bound double"
 _NAMES = ["grp", "score", "tie", "item", "bound"]
-#: A task folds its rows into the best so far whenever it has gathered this many.
+#: A task folds its rows into the best so far whenever it has gathered this many; it holds no more than about that.
 FOLD_ROWS = 200_000
 
 
@@ -40,19 +40,34 @@ def _best(table: pa.Table, n: int) -> pd.DataFrame:
 
 
 def _candidates(n: int):
+    """The best items of each group within a task's rows, with the ``n``-th best score there as ``bound``.
+
+    Rows gather until there are FOLD_ROWS of them and are then reduced to the best. Where that leaves more than half of
+    them - most groups have few items - they are given out as they are, with the bounds they have, and gathering begins
+    anew: so each fold takes in at least half a fold of new rows, and time and memory don't depend on the number of groups.
+    """
+
+    def given(rows: pd.DataFrame, schema: pa.Schema) -> list[pa.RecordBatch]:
+        bound = rows.loc[rows["rank"] == n].set_index("grp")["score"]
+        rows = rows.assign(bound=rows["grp"].map(bound).astype("float64"))
+        return pa.Table.from_pandas(rows[_NAMES], pa.schema([*schema, ("bound", pa.float64())]), preserve_index=False).to_batches(50_000)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.Table] = []
+        count = 0
         for batch in batches:
             if batch.num_rows:
                 waiting.append(pa.Table.from_batches([batch]).select(_NAMES[:4]))
-            if sum(t.num_rows for t in waiting) >= FOLD_ROWS:
-                waiting = [pa.Table.from_pandas(_best(pa.concat_tables(waiting), n)[_NAMES[:4]], waiting[0].schema, preserve_index=False)]
-        if not waiting:
-            return
-        rows = _best(pa.concat_tables(waiting), n)
-        last = rows.loc[rows["rank"] == n].set_index("grp")["score"]
-        rows["bound"] = rows["grp"].map(last)
-        yield from pa.Table.from_pandas(rows[_NAMES], pa.schema([*waiting[0].schema, ("bound", pa.float64())]), preserve_index=False).to_batches(50_000)
+                count += batch.num_rows
+            if count >= FOLD_ROWS:
+                schema, rows = waiting[0].schema, _best(pa.concat_tables(waiting), n)
+                if len(rows) * 2 > count:
+                    yield from given(rows, schema)
+                    waiting, count = [], 0
+                else:
+                    waiting, count = [pa.Table.from_pandas(rows[_NAMES[:4]], schema, preserve_index=False)], len(rows)
+        if waiting:
+            yield from given(_best(pa.concat_tables(waiting), n), waiting[0].schema)
 
     return run
 
@@ -65,8 +80,8 @@ def top_n_per_group(df: DataFrame, n: int) -> DataFrame:
 
     Every input partition keeps its own ``n`` best items per group; the ``n``-th best score there is a lower bound for
     the whole group, and the largest of these bounds is joined to the candidates. What stays of a hot group is little
-    more than its ``n`` best, whatever the number of partitions, and only that is ranked. A task's memory is ``n``
-    items for each group it meets. Groups with fewer items give all; an empty input gives none.
+    more than its ``n`` best, whatever the number of partitions, and only that is ranked. A task holds about FOLD_ROWS
+    rows, however many groups it meets. Groups with fewer items give all; an empty input gives none.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
