@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitloom.functions import scalars as X
-from remitloom.operators import aggregates, dedup, filters, graph, hotkeys, joins, orphans, topn, units
+from remitloom.operators import aggregates, dedup, filters, graph, hotkeys, joins, orphans, units
 from remitloom.params import DEFAULTS as P
 from remitloom.plans import questions as Q
 from remitloom.sources import derived, sinks
@@ -431,17 +431,6 @@ def _(spark, d):
     return out.select(F.col("key").alias("bank_id"), "n_rows", F.col("n_distinct").alias("n_amounts"), F.col("mode").alias("mode_amount"), "mode_rows", "p50", "p95")
 
 
-@query("p4_found", f"""WITH t AS (SELECT {_BANK} AS bank_id, transfer_id, account_origin, amount_received FROM bank_transactions
-  WHERE account_origin IS NOT NULL AND amount_received IS NOT NULL AND NOT isnan(amount_received) AND receiving_currency = 'US Dollar' AND transfer_id IS NOT NULL),
-  once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bank_id, transfer_id ORDER BY amount_received DESC, account_origin) AS c FROM t WHERE bank_id IS NOT NULL) WHERE c = 1)
-  SELECT bank_id, CAST(rn AS INTEGER) AS item_rank, transfer_id FROM (SELECT *, row_number() OVER (PARTITION BY bank_id ORDER BY amount_received DESC, account_origin, transfer_id) AS rn FROM once) WHERE rn <= 5""")
-def _(spark, d):
-    rows = tx(spark, d).filter(F.col("receiving_currency") == P.usd_name)
-    items = rows.select(X.bank_number(F.col("from_bank")).alias("grp"), X.number(F.col("amount_received")).alias("score"), F.col("account_origin").alias("tie"), F.col("transfer_id").alias("item"))
-    best = topn.top_n_per_group(items.dropna(), 5)
-    return best.select(F.col("grp").alias("bank_id"), "item_rank", F.col("item").alias("transfer_id"))
-
-
 def all_orphans(spark: SparkSession, d: str) -> DataFrame:
     """References of transactions and accounts that find no valid target, with table, field and day."""
     t, a, b = tx(spark, d), accounts(spark, d), S.table(spark, d, "bank_directory")
