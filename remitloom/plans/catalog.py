@@ -403,7 +403,7 @@ _IDENT = """CASE WHEN {i} IS NULL THEN NULL WHEN regexp_matches({i}, '^\\s*[+-]?
 def _(spark, d):
     rows = arrivals(spark, d)
     seen = dedup.SeenStore(spark, fresh_path(spark, "seen"), dedup.shards_for(rows.count()))
-    return dedup.surplus(rows, seen.ingest(rows)).select(F.col("row_id").alias("delivery_id"))
+    return dedup.surplus(rows, dedup.ingest_in_order(seen, rows)).select(F.col("row_id").alias("delivery_id"))
 
 
 def _by_bank(spark: SparkSession, d: str, value) -> DataFrame:

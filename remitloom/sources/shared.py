@@ -52,6 +52,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class temporary:  # noqa: N801
+    """``df`` written like :func:`written`, for a result that can be deleted as soon as what is made of it is written."""
+
+    def __init__(self, df: DataFrame, label: str):
+        self.spark, self.path = df.sparkSession, fresh_path(df.sparkSession, label)
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def forget(self, keep: bool = False) -> None:
+        """Deletes the files, unless something that isn't written yet still reads them."""
+        if not keep:
+            delete(self.spark, self.path)
+            _USED.discard(self.path)
+
+
 def clean(spark: SparkSession) -> int:
     """Deletes everything this program has written to the shared folder; to be called once no result is read any more."""
     count = 0
