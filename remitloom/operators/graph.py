@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remitloom.operators.aggregates import peers
+from remitloom.operators.joins import broadcast_if_small
+from remitloom.sources.shared import written
+
+#: Edges on either side of one middle that one task pairs, about: a hub is cut into blocks of so many.
+BLOCK_EDGES = 2_000
+#: Most times edges are pruned.
+ROUNDS = 3
 
 
 def distinct_edges(rows: DataFrame) -> DataFrame:
@@ -19,19 +26,72 @@ def qualified_edges(edges: DataFrame, side: str, least: int) -> DataFrame:
     return edges.join(keep, side, "left_semi").select("o", "x")
 
 
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, middle) of numbers in place of names, and (n, account) to get the names back. Both are written."""
+    names = edges.select(F.col("o").alias("account")).unionByName(edges.select(F.col("x").alias("account"))).distinct()
+    ids = written(names.select(F.monotonically_increasing_id().alias("n"), "account"), "accounts")
+    of = lambda side, out: broadcast_if_small(ids.select(F.col("n").alias(out), F.col("account").alias(side)))
+    return written(edges.join(of("o", "a"), "o").join(of("x", "b"), "x").select("a", "b"), "edges"), ids
+
+
+def _pruned(edges: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(a, middle) and (middle, b): edges (a, b) that can be on a path of a pair with ``least`` middles, both sides written.
+
+    Origins and destinations need that many edges, and a middle needs an edge on both sides. Dropping middles takes edges
+    from the ends, so this is done again while it still drops a tenth of the edges, at most ROUNDS times; what is left then
+    is correct all the same, as this only saves work.
+    """
+    first, second = edges.select("a", F.col("b").alias("middle")), edges.select(F.col("a").alias("middle"), "b")
+    before = None
+    for _ in range(ROUNDS):
+        first = first.join(peers(first, "a", least).select(F.col("account").alias("a")), "a", "left_semi")
+        second = second.join(peers(second, "b", least).select(F.col("account").alias("b")), "b", "left_semi")
+        in_both = first.select("middle").distinct().intersect(second.select("middle").distinct())
+        sides = first.select(F.lit(1).alias("side"), "middle", F.col("a").alias("end")).unionByName(second.select(F.lit(2).alias("side"), "middle", F.col("b").alias("end")))
+        kept = written(sides.join(broadcast_if_small(in_both), "middle", "left_semi"), "sides")
+        first, second = kept.filter("side = 1").select(F.col("end").alias("a"), "middle"), kept.filter("side = 2").select("middle", F.col("end").alias("b"))
+        count = kept.count()
+        if before is not None and count > before * 0.9 or count == 0:
+            break
+        before = count
+    return first, second
+
+
+def two_hop_paths(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(a, middle, b): all paths of an edge (a, middle) and an edge (middle, b); ``a`` and ``b`` may be one account.
+
+    Edges of a hub are cut into blocks by their other end, as many as its edges need on either side, and every pair of
+    blocks is one join key: no task holds more than about BLOCK_EDGES edges of a hub a side, however large it is. Middles
+    with fewer edges are one block and are not repeated.
+    """
+    ends = first.select("middle", F.lit(1).alias("_side")).unionByName(second.select("middle", F.lit(2).alias("_side")))
+    count = lambda side: F.count(F.when(F.col("_side") == side, 1))
+    sizes = ends.groupBy("middle").agg(*[F.ceil(count(s) / BLOCK_EDGES).cast("int").alias(f"_blocks_{s}") for s in (1, 2)])
+    hubs = written(sizes.filter("_blocks_1 > 1 or _blocks_2 > 1"), "hubs")
+    if hubs.isEmpty():
+        return first.join(second, "middle").select("a", "middle", "b")
+    one = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(1)), F.lit(1))
+    every = lambda c: F.explode(F.sequence(F.lit(0), one(c) - 1))
+    block = lambda end, c: F.pmod(F.xxhash64(end), one(c)).cast("int")
+    hubs = broadcast_if_small(hubs)
+    first = first.join(hubs, "middle", "left").withColumn("_i", block("a", "_blocks_1")).withColumn("_j", every("_blocks_2"))
+    second = second.join(hubs, "middle", "left").withColumn("_j", block("b", "_blocks_2")).withColumn("_i", every("_blocks_1"))
+    return first.select("a", "middle", "_i", "_j").join(second.select("middle", "b", "_i", "_j"), ["middle", "_i", "_j"]).select("a", "middle", "b")
+
+
 def scatter_gather_pairs(edges: DataFrame, least: int = 5) -> DataFrame:
     """(account_origin, account_destination, middles) with ``least`` or more middles and different ends.
 
-    ``least`` prunes three times before paths are paired: origins and destinations need that many peers (semi
-    joins), and a middle counts only with an edge from a kept origin and to a kept destination. The path join and
-    the final count are the only steps whose size is not linear in the edges; the partial count combines pairs
-    before they shuffle. Edges are distinct, so counting rows counts distinct middles.
+    Accounts are numbered and the distinct edges written once. Before paths are paired, edges that can be on none are pruned
+    from both ends. The path join and the final count are the only steps whose size is not linear in the edges; they work on
+    numbers, and the partial count combines pairs before they shuffle. Edges are distinct, so counting rows counts middles.
     """
-    out_edges = qualified_edges(edges, "o", least).select(F.col("o").alias("a"), F.col("x").alias("mid"))
-    in_edges = qualified_edges(edges, "x", least).select(F.col("o").alias("mid"), F.col("x").alias("b"))
-    paths = out_edges.join(in_edges, "mid").filter(F.col("a") != F.col("b"))
+    numbered, ids = _numbered(written(edges, "edges"))
+    first, second = _pruned(numbered, least)
+    paths = two_hop_paths(first, second).filter(F.col("a") != F.col("b"))
     pairs = paths.groupBy("a", "b").agg(F.count(F.lit(1)).alias("middles")).filter(F.col("middles") >= least)
-    return pairs.select(F.col("a").alias("account_origin"), F.col("b").alias("account_destination"), "middles")
+    name = lambda n, out: broadcast_if_small(ids.select(F.col("n").alias(n), F.col("account").alias(out)))
+    return pairs.join(name("a", "account_origin"), "a").join(name("b", "account_destination"), "b").select("account_origin", "account_destination", "middles")
 
 
 def flatten_pairs(pairs: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from remitloom.operators import skew
 from remitloom.operators.prefix import running_total
+from remitloom.sources.shared import written
 
 
 def weighted_values(df: DataFrame, key: Column, value: Column) -> DataFrame:
@@ -27,33 +27,32 @@ def rows_per_key(weighted: DataFrame) -> DataFrame:
     return weighted.filter(F.col("key").isNotNull()).groupBy("key").agg(F.sum("n").alias("n_rows"))
 
 
-def distinct_and_mode(weighted: DataFrame) -> DataFrame:
-    """(key, n_rows, n_distinct, mode, mode_rows): NULL values count as rows only.
-
-    The mode is the most frequent value, of several the smallest; NULL where a key has no values.
-    """
-    known = F.col("value").isNotNull()
-    best = F.min(F.when(known, F.struct((-F.col("n")).alias("m"), F.col("value").alias("v")))).alias("_b")
-    out = weighted.filter(F.col("key").isNotNull()).groupBy("key").agg(F.sum("n").alias("n_rows"), F.count(F.when(known, 1)).alias("n_distinct"), best)
-    return out.select("key", "n_rows", "n_distinct", F.col("_b.v").alias("mode"), (-F.col("_b.m")).alias("mode_rows"))
+def profile(weighted: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
+    """(key, n_rows, n_distinct, mode, mode_rows, one column per share): all from one pass over the weighted values.
 
+    NULL values count in ``n_rows`` only, and keys that are NULL are left out. The mode is the most frequent value, of
+    several the smallest. A share gives the exact discrete percentile: the smallest value whose share of the values reaches
+    it (NaN sorts last: filter it before if it shall not count). Without values mode and percentiles are NULL.
 
-def percentiles(weighted: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """(key, one column per share): exact discrete percentiles, the smallest value whose share of rows reaches it.
-
-    NULL values don't take part (filter NaN before, it sorts last). Keys with no values are absent. Weights are
-    added up in value order by :func:`running_total`, so even a key with a third of all values is spread over tasks.
+    Weights are added up in value order by :func:`running_total`, which also attaches each key's totals: so even a key with a
+    third of all values is spread over tasks, and every grouping is a hash aggregate that combines on the map side.
+    ``weighted`` is written once, as range partitioning reads it twice.
     """
-    kept = weighted.filter(F.col("key").isNotNull() & F.col("value").isNotNull())
-    running = running_total(kept, ["key"], [F.col("value")], "n", "upto", "percentiles")
-    hot = skew.hot_keys(running, ["key"])
-    totals = running.groupBy("key").agg(F.max("upto").alias("total"))
-    rows = skew.salted(running, hot, ["key"], "value").join(skew.repeated(totals, hot, ["key"]), ["key", skew.SALT])
-    columns = []
-    for name, share in shares.items():
-        wanted = F.greatest(F.ceil(F.col("total") * F.lit(float(share))), F.lit(1))
-        columns.append(F.min(F.when(F.col("upto") >= wanted, F.col("value"))).alias(name))
-    return rows.groupBy("key").agg(*columns)
+    known = F.col("value").isNotNull()
+    kept = written(weighted.filter(F.col("key").isNotNull()).withColumn("_w", F.when(known, F.col("n")).otherwise(F.lit(0))), "weighted")
+    whole = {
+        "n_rows": ("sum", F.col("n")),
+        "n_distinct": ("sum", F.when(known, F.lit(1)).otherwise(F.lit(0)).cast("bigint")),
+        "_total": ("sum", F.col("_w")),
+        "mode_rows": ("max", F.when(known, F.col("n"))),
+    }
+    rows = running_total(kept, ["key"], [F.col("value")], "_w", "upto", "profile", whole)
+    columns = [F.min(F.when(known & (F.col("n") == F.col("mode_rows")), F.col("value"))).alias("mode")]
+    for name, share in (shares or {}).items():
+        wanted = F.greatest(F.ceil(F.col("_total") * F.lit(float(share))), F.lit(1))
+        columns.append(F.min(F.when(known & (F.col("upto") >= wanted), F.col("value"))).alias(name))
+    same = [F.max(c).alias(c) for c in ("n_rows", "n_distinct", "mode_rows")]  # alike in all rows of a key
+    return rows.groupBy("key").agg(*same, *columns).select("key", "n_rows", "n_distinct", "mode", "mode_rows", *(shares or {}))
 
 
 def keys_with_share(weighted: DataFrame, total: DataFrame, per_cent: int) -> DataFrame:

@@ -13,7 +13,7 @@ from remitloom.params import DEFAULTS as P
 from remitloom.plans import questions as Q
 from remitloom.sources import derived, sinks
 from remitloom.sources import tables as S
-from remitloom.sources.shared import fresh_path
+from remitloom.sources.shared import fresh_path, written
 from remitloom.streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,9 +84,13 @@ def _(spark, d):
 _P1 = ["from_bank", "account_origin", "account_destination", "amount_received", "receiving_currency", "payment_currency"]
 
 
-@query("f2_usd_filter", f"WITH {_USD} SELECT {', '.join(_P1)} FROM usd")
+_AMOUNT = "CASE WHEN NOT isnan(amount_received) THEN amount_received END"
+
+
+@query("f2_usd_filter", f"WITH {_USD} SELECT {', '.join(_P1).replace('amount_received', _AMOUNT + ' AS amount_received')} FROM usd")
 def _(spark, d):
-    return Q.usd_rows(tx(spark, d)).select(*_P1)
+    """All rows stay; an amount that is no number is NULL."""
+    return Q.usd_rows(tx(spark, d)).select(*_P1).withColumn("amount_received", X.number(F.col("amount_received")))
 
 
 @query("f5_date_split", f"""WITH {_BASE} SELECT CASE WHEN ts IS NULL OR NOT {_STAMP} THEN 'out' WHEN substr(ts, 1, 10) BETWEEN '2022/09/01' AND '2022/09/05' THEN 'ref'
@@ -217,10 +221,10 @@ def _(spark, d):
 @query("j3_two_hop", f"""WITH {_WIN}, {_EDGES}, {_FANS} SELECT a.x AS middle, count(*) AS paths FROM edges a JOIN edges b ON a.x = b.o
   WHERE a.o IN (SELECT o FROM fo) AND b.x IN (SELECT x FROM fi) GROUP BY a.x""")
 def _(spark, d):
-    edges = graph.distinct_edges(Q.reference_usd(tx(spark, d)))
-    ways_in = graph.qualified_edges(edges, "o", P.min_peers).groupBy(F.col("x").alias("middle")).agg(F.count(F.lit(1)).alias("i"))
-    ways_out = graph.qualified_edges(edges, "x", P.min_peers).groupBy(F.col("o").alias("middle")).agg(F.count(F.lit(1)).alias("o"))
-    return ways_in.join(ways_out, "middle").select("middle", (F.col("i") * F.col("o")).alias("paths"))
+    edges = written(graph.distinct_edges(Q.reference_usd(tx(spark, d))), "edges")
+    first = graph.qualified_edges(edges, "o", P.min_peers).select(F.col("o").alias("a"), F.col("x").alias("middle"))
+    second = graph.qualified_edges(edges, "x", P.min_peers).select(F.col("o").alias("middle"), F.col("x").alias("b"))
+    return graph.two_hop_paths(first, second).groupBy("middle").agg(F.count(F.lit(1)).alias("paths"))
 
 
 @query("j4_semi", f"WITH {_WIN}, {_EDGES}, {_FANS} SELECT o, x FROM edges WHERE o IN (SELECT o FROM fo)")
@@ -244,10 +248,10 @@ def _(spark, d):
     return aggregates.counts_by(direct.unionByName(rows.filter("route = 'convert'").select(F.lit("convert").alias("branch"))), "branch")
 
 
-@query("g_final_types", f"WITH {_USD} SELECT account_origin, coalesce(amount_received, 0) AS amount_received FROM usd WHERE amount_received IS NULL OR NOT isnan(amount_received)")
+@query("g_final_types", f"WITH {_USD} SELECT account_origin, coalesce({_AMOUNT}, 0) AS amount_received FROM usd")
 def _(spark, d):
-    rows = Q.usd_rows(tx(spark, d)).filter(F.col("amount_received").isNull() | ~F.isnan("amount_received"))
-    return rows.select("account_origin", F.coalesce("amount_received", F.lit(0.0)).alias("amount_received"))
+    """Final amounts: what is no number counts as 0, and no row is lost."""
+    return Q.usd_rows(tx(spark, d)).select("account_origin", F.coalesce(X.number(F.col("amount_received")), F.lit(0.0)).alias("amount_received"))
 
 
 @query("t3_dedup", "SELECT row_id, transfer_id FROM bank_transactions")
@@ -321,7 +325,7 @@ def _(spark, d):
 
 _PRICE = "CAST(l_extendedprice AS DOUBLE) / CASE l_linenumber " + " ".join(f"WHEN {i} THEN 1e{i - 1}" for i in range(1, 7)) + " ELSE 1e6 END"
 _PAID = "CASE WHEN l_suppkey % 5 = 3 THEN 'Bitcoin' WHEN l_suppkey % 5 = 4 THEN 'Saudi Riyal' ELSE 'US Dollar' END"
-_VIEW = f"""k AS (SELECT CASE WHEN count(*) < 5000 THEN 40 WHEN count(*) < 50000 THEN 400 ELSE 1200 END AS k FROM orders),
+_VIEW = f"""k AS (SELECT greatest(count(*) // 125, 1) AS k FROM orders),
   derived AS (SELECT '2022/09/' || lpad(CAST(1 + l_orderkey % 20 AS VARCHAR), 2, '0') || ' ' || lpad(CAST(l_partkey % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') AS ts,
   lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS from_bank, 'A' || lpad(CAST(o_custkey % (SELECT k FROM k) AS VARCHAR), 5, '0') AS account_origin,
   'A' || lpad(CAST((l_partkey * 7 + l_suppkey) % (SELECT k FROM k) AS VARCHAR), 5, '0') AS account_destination, {_PRICE} AS amount_received, {_PRICE} AS amount_paid,
@@ -425,9 +429,7 @@ def _(spark, d):
   SELECT b.bank_id, n_rows, n_amounts, mode_amount, mode_rows, p50, p95 FROM (SELECT bank_id, CAST(sum(n) AS BIGINT) AS n_rows, count(v) AS n_amounts FROM c GROUP BY 1) b
   LEFT JOIN m ON m.bank_id = b.bank_id AND rn = 1 LEFT JOIN p ON p.bank_id = b.bank_id""")
 def _(spark, d):
-    weighted = _by_bank(spark, d, X.number(F.col("amount_received")))
-    shape = hotkeys.distinct_and_mode(weighted)
-    out = shape.join(hotkeys.percentiles(weighted, {"p50": 0.5, "p95": 0.95}), "key", "left")
+    out = hotkeys.profile(_by_bank(spark, d, X.number(F.col("amount_received"))), {"p50": 0.5, "p95": 0.95})
     return out.select(F.col("key").alias("bank_id"), "n_rows", F.col("n_distinct").alias("n_amounts"), F.col("mode").alias("mode_amount"), "mode_rows", "p50", "p95")
 
 
@@ -441,17 +443,14 @@ def all_orphans(spark: SparkSession, d: str) -> DataFrame:
     banks = b.select(F.col("bank_id").cast("string").alias("k"), X.plain_name(F.col("bank_name")).alias("nm"), *valid, F.col("withdrawn_at").alias("valid_to"))
     numbers = a.select(F.col("account_number").alias("k"), *valid, F.col("closed_at").alias("valid_to"))
     account = F.col("account_origin")
-    parts = [
-        ("bank_transactions", "from_bank", t.select(F.col("row_id").alias("row_key"), F.col("loaded_at").alias("at"), stated.alias("k")), banks),
-        ("bank_transactions", "account_origin", t.select(F.col("row_id").alias("row_key"), F.col("loaded_at").alias("at"), F.when(X.strip(account) != "", account).alias("k")), numbers),
-        ("bank_accounts", "bank_name", a.select(F.col("account_row_id").alias("row_key"), F.col("loaded_at").alias("at"), F.when(~name.isin("", "unknown"), name).alias("k")), banks.select(F.col("nm").alias("k"), "valid_from", "valid_to")),
-    ]
-    out = None
-    for table, field, refs, targets in parts:
-        one = orphans.find_orphans(refs, targets, ["k"], "simple")
-        one = one.select(F.lit(table).alias("ref_table"), F.lit(field).alias("ref_field"), "row_key", "orphan_kind", F.date_format("at", "yyyy-MM-dd").alias("ref_period"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    sent = t.select(F.col("row_id").alias("row_key"), F.col("loaded_at").alias("at"), stated.alias("bank"), F.when(X.strip(account) != "", account).alias("account"))
+    held = a.select(F.col("account_row_id").alias("row_key"), F.col("loaded_at").alias("at"), F.when(~name.isin("", "unknown"), name).alias("name"))
+    found = {
+        "bank_transactions": orphans.find_all_orphans(sent, {"from_bank": orphans.Reference(["bank"], banks, target_keys=["k"]), "account_origin": orphans.Reference(["account"], numbers, target_keys=["k"])}),
+        "bank_accounts": orphans.find_all_orphans(held, {"bank_name": orphans.Reference(["name"], banks, target_keys=["nm"])}),
+    }
+    named = [one.select(F.lit(table).alias("ref_table"), "ref_field", "row_key", "orphan_kind", F.date_format("at", "yyyy-MM-dd").alias("ref_period")) for table, one in found.items()]
+    return named[0].unionByName(named[1])
 
 
 _ORPHANS = f"""WITH refs AS (
@@ -474,3 +473,38 @@ def _(spark, d):
 @query("p5_orphan_report", _ORPHANS + " SELECT ref_table, ref_field, orphan_kind, ref_period, count(*) AS n_orphans FROM o GROUP BY ALL")
 def _(spark, d):
     return orphans.by_period(all_orphans(spark, d))
+
+
+# ---- composite references with partial nulls ---------------------------------------------------------------------------
+
+
+def composite_orphans(spark: SparkSession, d: str, match: str) -> DataFrame:
+    """References (from_bank, account_origin) of transactions to accounts (bank_id, account_number), either part maybe absent."""
+    rows = tx(spark, d).select(F.col("row_id").alias("row_key"), F.col("loaded_at").alias("at"), X.bank_number(F.col("from_bank")).alias("bank"), F.when(X.strip(F.col("account_origin")) != "", F.col("account_origin")).alias("account"))
+    targets = accounts(spark, d).select("bank_id", "account_number", F.col("loaded_at").alias("valid_from"), F.col("closed_at").alias("valid_to"))
+    out = orphans.find_all_orphans(rows, {"bank and account": orphans.Reference(["bank", "account"], targets, match, ["bank_id", "account_number"])})
+    return out.select("row_key", "orphan_kind")
+
+
+def _composite_sql(match: str) -> str:
+    partly = "" if match == "partial" else " AND b IS NOT NULL AND c IS NOT NULL"
+    some = "UNION ALL SELECT row_key, 'missing' FROM r WHERE (b IS NULL) <> (c IS NULL)" if match == "full" else ""
+    return f"""WITH r AS (SELECT row_id AS row_key, loaded_at AS t, {_BANK} AS b, CASE WHEN trim(account_origin) <> '' THEN account_origin END AS c FROM bank_transactions),
+  both_stated AS (SELECT row_key, count(g.account_row_id) AS n, count(*) FILTER (g.loaded_at <= t) AS came, count(*) FILTER (g.loaded_at <= t AND (g.closed_at IS NULL OR g.closed_at > t)) AS ok
+    FROM r LEFT JOIN bank_accounts g ON g.bank_id = b AND g.account_number = c WHERE b IS NOT NULL AND c IS NOT NULL GROUP BY row_key),
+  only_bank AS (SELECT row_key, t, b FROM r WHERE b IS NOT NULL AND c IS NULL{partly}), only_account AS (SELECT row_key, t, c FROM r WHERE c IS NOT NULL AND b IS NULL{partly}),
+  one_stated AS (SELECT row_key, count(g.account_row_id) AS n, count(*) FILTER (g.loaded_at <= t) AS came, count(*) FILTER (g.loaded_at <= t AND (g.closed_at IS NULL OR g.closed_at > t)) AS ok
+    FROM only_bank LEFT JOIN bank_accounts g ON g.bank_id = b GROUP BY row_key
+    UNION ALL SELECT row_key, count(g.account_row_id), count(*) FILTER (g.loaded_at <= t), count(*) FILTER (g.loaded_at <= t AND (g.closed_at IS NULL OR g.closed_at > t))
+    FROM only_account LEFT JOIN bank_accounts g ON g.account_number = c GROUP BY row_key)
+  SELECT row_key, CASE WHEN n = 0 THEN 'missing' WHEN came > 0 THEN 'deleted' ELSE 'late' END AS orphan_kind FROM (SELECT * FROM both_stated UNION ALL SELECT * FROM one_stated) WHERE ok = 0 {some}"""
+
+
+@query("p5_composite_partial", _composite_sql("partial"))
+def _(spark, d):
+    return composite_orphans(spark, d, "partial")
+
+
+@query("p5_composite_full", _composite_sql("full"))
+def _(spark, d):
+    return composite_orphans(spark, d, "full")

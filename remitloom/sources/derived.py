@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitloom.sources.tables import table
+from remitloom.sources.tables import BUILTIN_RATES, table
 
-#: US dollars for one unit on five days, for the currencies that only a static table knows.
-STATIC_RATES = {
-    "Bitcoin|USD|2022-09-01": "19793.1",
-    "Bitcoin|USD|2022-09-02": "199999.0",
-    "Bitcoin|USD|2022-09-03": "19831.4",
-    "Bitcoin|USD|2022-09-04": "19952.7",
-    "Bitcoin|USD|2022-09-05": "20126.1",
+#: US dollars for one unit on five days, for the currencies that only a static table knows; Bitcoin is built in.
+STATIC_RATES = BUILTIN_RATES | {
     "Saudi Riyal|USD|2022-09-01": "0.2661",
     "Saudi Riyal|USD|2022-09-02": "0.2660",
     "Saudi Riyal|USD|2022-09-03": "0.2660",
@@ -25,17 +20,15 @@ STATIC_RATES = {
     "Ruble|USD|2022-09-04": "0.01653",
     "Ruble|USD|2022-09-05": "0.01652",
 }
-
-
-def account_count(orders: int) -> int:
-    """Number of accounts for a number of orders, so that pairs turn up at every size."""
-    return 40 if orders < 5_000 else 400 if orders < 50_000 else 1200
+#: Orders to one account name: the number of accounts grows with the data, and so each has about as many transfers at any size.
+ORDERS_PER_ACCOUNT = 125
 
 
 def transactions(spark: SparkSession, folder: str, accounts: int | None = None) -> DataFrame:
-    """One transaction per order line; ``accounts`` is the number of account names in use."""
+    """One transaction per order line; ``accounts`` is the number of account names in use, else one for ORDERS_PER_ACCOUNT orders."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    k = accounts or account_count(orders.count())
+    count = orders.agg(F.greatest(F.floor(F.count(F.lit(1)) / ORDERS_PER_ACCOUNT), F.lit(1))).scalar()  # a subquery of the plan
+    k = F.lit(accounts) if accounts else count
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
