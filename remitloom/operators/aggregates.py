@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _first_of_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first row of every key. Spark limits each task's rows to one per key before they shuffle, so no key is hot."""
+    first = F.expr(f"row_number() OVER (PARTITION BY {key} ORDER BY {', '.join(order)})")
+    return rows.withColumn("_rank", first).filter("_rank = 1").drop("_rank")
+
+
 def max_by_key(df: DataFrame, key: str | Column, value: str, carry: str, key_name: str) -> DataFrame:
     """Per key the largest ``value`` with its ``carry``; of equal values the smallest ``carry`` wins.
 
-    One aggregate over (value, carry): max of the value, then min of the carry among the rows that reach it, folded
-    into a struct so that the partial aggregate keeps one row per key and task. Rows with a NULL key, NULL or NaN
-    value don't take part. A NULL ``carry`` sorts before all others, as in ascending order.
+    Rows with a NULL key, NULL or NaN value don't take part. A NULL ``carry`` sorts before all others, as in ascending order.
     """
-    v = F.col(value).cast("double")
-    rows = df.select((F.col(key) if isinstance(key, str) else key).alias(key_name), v.alias("_v"), F.col(carry).alias("_c"))
-    rows = rows.filter(F.col(key_name).isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v"))
-    best = rows.groupBy(key_name).agg(F.min(F.struct((-F.col("_v")).alias("_n"), F.col("_c"))).alias("_b"))
-    return best.select(key_name, F.col("_b._c").alias(carry), (-F.col("_b._n")).alias(value))
+    rows = df.select((F.col(key) if isinstance(key, str) else key).alias(key_name), F.col(carry).alias("_c"), F.col(value).cast("double").alias("_v"))
+    rows = rows.filter(f"{key_name} IS NOT NULL AND _v IS NOT NULL AND NOT isnan(_v)")
+    return _first_of_key(rows, key_name, "_v DESC", "_c").withColumnsRenamed({"_c": carry, "_v": value})
 
 
 def average_by_key(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -35,8 +37,7 @@ def first_per_key(df: DataFrame, key: str, value: str, arrival: str | None = Non
     rows = df.filter(F.col(key).isNotNull())
     if arrival is None:
         return rows.groupBy(key).agg(F.min(value).alias(value))
-    first = rows.groupBy(key).agg(F.min(F.struct(F.col(arrival).alias("a"), F.col(value).alias("v"))).alias("_f"))
-    return first.select(key, F.col("_f.v").alias(value))
+    return _first_of_key(rows.select(F.col(key), F.col(value), F.col(arrival).alias("_at")), key, "_at", value).select(key, value)
 
 
 def count_rows(df: DataFrame, name: str = "n") -> DataFrame:

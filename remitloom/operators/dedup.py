@@ -48,7 +48,7 @@ def message_identity(client: Column, kind: Column, message_id: Column, data_id:
 
 def shards_for(messages: int, per_shard: int = 2_000_000) -> int:
     """Shards for a store that is to hold about so many messages."""
-    return max(16, -(-messages // per_shard))
+    return max(8, -(-messages // per_shard))
 
 
 def _wide(number: int, digits: int) -> Column:
@@ -227,7 +227,7 @@ class SeenStore:
             raise RuntimeError(f"version {version} was committed by another writer") from error
 
 
-def ingest_in_order(store: SeenStore, arrivals: DataFrame, slices: int = 3) -> DataFrame:
+def ingest_in_order(store: SeenStore, arrivals: DataFrame, slices: int = 2) -> DataFrame:
     """(row_id) of the copies kept of a whole table, taken in as ``slices`` batches in order of ``at``.
 
     Which copy of a message stays depends on the time over all batches, while a store keeps what it kept: so the batches

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitloom.sources.tables import BUILTIN_RATES, table
+from remitloom.sources.tables import BUILTIN_RATES, spread, table
 
 #: US dollars for one unit on five days, for the currencies that only a static table knows; Bitcoin is built in.
 STATIC_RATES = BUILTIN_RATES | {
@@ -27,35 +27,31 @@ ORDERS_PER_ACCOUNT = 125
 def transactions(spark: SparkSession, folder: str, accounts: int | None = None) -> DataFrame:
     """One transaction per order line; ``accounts`` is the number of account names in use, else one for ORDERS_PER_ACCOUNT orders."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    count = orders.agg(F.greatest(F.floor(F.count(F.lit(1)) / ORDERS_PER_ACCOUNT), F.lit(1))).scalar()  # a subquery of the plan
-    k = F.lit(accounts) if accounts else count
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = rows.join(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.join(table(spark, folder, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
-    paid = F.when(F.col("l_suppkey") % 5 == 3, "Bitcoin").when(F.col("l_suppkey") % 5 == 4, "Saudi Riyal").otherwise("US Dollar")
-    tens = F.lit(1e6)
-    for i in range(6, 0, -1):
-        tens = F.when(F.col("l_linenumber") == i, F.lit(float(10 ** (i - 1)))).otherwise(tens)
-    amount = F.col("l_extendedprice").cast("double") / tens
-    priority = F.substring("o_orderpriority", 1, 1)
-    kind = F.when(priority == "1", "Wire").when(priority == "2", "ACH").when(priority == "3", "Cheque").when(priority == "4", "Credit Card").otherwise("Reinvestment")
-    return rows.select(
-        F.concat(F.lit("2022/09/"), pad(1 + F.col("l_orderkey") % 20, 2), F.lit(" "), pad(F.col("l_partkey") % 24, 2), F.lit(":"), pad(F.col("l_linenumber"), 2)).alias("ts"),
-        pad(F.col("c_nationkey"), 3).alias("from_bank"),
-        F.concat(F.lit("A"), pad(F.col("o_custkey") % k, 5)).alias("account_origin"),
-        pad(F.col("s_nationkey"), 3).alias("to_bank"),
-        F.concat(F.lit("A"), pad((F.col("l_partkey") * 7 + F.col("l_suppkey")) % k, 5)).alias("account_destination"),
-        amount.alias("amount_received"),
-        F.when(F.col("l_partkey") % 10 == 0, "Euro").otherwise(paid).alias("receiving_currency"),
-        amount.alias("amount_paid"),
-        paid.alias("payment_currency"),
-        kind.alias("payment_format"),
+    # a subquery of the plan, so nothing is counted beforehand
+    k = F.lit(accounts) if accounts else orders.agg(F.expr(f"greatest(floor(count(1) / {ORDERS_PER_ACCOUNT}), 1)")).scalar()
+    lines = spread(table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"), "l_orderkey")
+    rows = lines.join(orders, F.expr("l_orderkey = o_orderkey"))
+    rows = rows.join(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), F.expr("o_custkey = c_custkey"))
+    rows = rows.join(table(spark, folder, "supplier").select("s_suppkey", "s_nationkey"), F.expr("l_suppkey = s_suppkey"))
+    tens = " ".join(f"WHEN {i} THEN 1e{i - 1}D" for i in range(1, 7))
+    amount = f"CAST(l_extendedprice AS DOUBLE) / CASE l_linenumber {tens} ELSE 1e6D END"
+    paid = "CASE l_suppkey % 5 WHEN 3 THEN 'Bitcoin' WHEN 4 THEN 'Saudi Riyal' ELSE 'US Dollar' END"
+    # few texts in place of many columns: each call to build one is a round trip to the JVM
+    return rows.withColumn("_k", k).selectExpr(
+        "concat('2022/09/', lpad(1 + l_orderkey % 20, 2, '0'), ' ', lpad(l_partkey % 24, 2, '0'), ':', lpad(l_linenumber, 2, '0')) AS ts",
+        "lpad(c_nationkey, 3, '0') AS from_bank",
+        "concat('A', lpad(o_custkey % _k, 5, '0')) AS account_origin",
+        "lpad(s_nationkey, 3, '0') AS to_bank",
+        "concat('A', lpad((l_partkey * 7 + l_suppkey) % _k, 5, '0')) AS account_destination",
+        f"{amount} AS amount_received",
+        f"CASE WHEN l_partkey % 10 = 0 THEN 'Euro' ELSE {paid} END AS receiving_currency",
+        f"{amount} AS amount_paid",
+        f"{paid} AS payment_currency",
+        "CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'Wire' WHEN '2' THEN 'ACH' WHEN '3' THEN 'Cheque' WHEN '4' THEN 'Credit Card' ELSE 'Reinvestment' END AS payment_format",
     )
 
 
 def accounts(spark: SparkSession, folder: str) -> DataFrame:
     """One account per nation, without a name for the last one."""
     nations = table(spark, folder, "nation").filter(F.col("n_nationkey") != 24)
-    return nations.select(F.col("n_name").alias("bank_name"), F.col("n_nationkey").cast("bigint").alias("bank_id"))
+    return nations.selectExpr("n_name AS bank_name", "CAST(n_nationkey AS BIGINT) AS bank_id")

@@ -6,15 +6,31 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from remitloom import schemas
 from remitloom.functions import scalars as X
 from remitloom.sources.shared import literal
 
 
+_SCHEMAS: dict[tuple, T.StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One parquet table (a file or a folder of files)."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One parquet table (a file or a folder of files). Its schema is read once for each state of the file or folder."""
+    path = f"{folder}/{name}.parquet"
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(found)
+    state = (path, status.getModificationTime(), status.getLen())
+    if state not in _SCHEMAS:
+        _SCHEMAS[state] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[state]).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan that has fewer tasks than there are cores, as of one file with one row group, shuffled by ``key``; others stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores else df
 
 
 def transactions_csv(spark: SparkSession, path: str) -> DataFrame:
