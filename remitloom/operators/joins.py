@@ -56,11 +56,12 @@ def with_rate(rows: DataFrame, rates: DataFrame, currency: str = "payment_curren
 def to_usd(rows: DataFrame, rates: DataFrame, amount: str = "amount_paid", currency: str = "payment_currency", out: str = "usd_amt") -> DataFrame:
     """``rows`` with the amount in US dollars as a double; NULL without a rate or with a NULL or NaN amount.
 
-    Dollars pass as they are; other amounts are multiplied as decimal(28,10) with a rate of decimal(14,6), which keeps 11
-    decimals of the product, and only the product becomes a double.
+    Dollars pass as they are; other amounts are multiplied as decimals with all digits of the rate, and only the product,
+    with 15 decimals (7 for amounts from 10^10 on), becomes a double.
     """
     plain = X.number(F.col(amount))
     rated = with_rate(rows, rates, currency, out="__usd_rate", code="__usd_code")
-    product = plain.try_cast("decimal(28,10)") * F.col("__usd_rate").try_cast("decimal(14,6)")
+    rate = F.col("__usd_rate").cast("decimal(18,6)")
+    product = F.coalesce(F.try_multiply(plain.try_cast("decimal(20,10)"), rate), F.try_multiply(plain.try_cast("decimal(28,10)"), rate).cast("decimal(38,7)"))
     usd = F.when(F.col("__usd_code") == "USD", plain).otherwise(product.cast("double"))
     return rated.withColumn(out, usd).drop("__usd_rate", "__usd_code")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import product
 
 import pandas as pd
@@ -56,10 +57,17 @@ COMPOUND = {
     ("Bitcoin", -3): ["mbtc", "millibitcoin", "millibitcoins"],
     ("UK Pound", -2): ["pence sterling"],
 }
-#: Parts of notes with one of these mention a unit of something else.
-MENTIONS_ONLY = re.compile(r"counter ?value|quoted|shown|as well|equivalent|contravalor|also in|instead of|not in|\bex\b", re.I)
-#: In a feed's own description a unit counts only right after these words.
+#: In a note a unit right behind one of these, within NEAR_WORDS words of the same part, or right before one of the latter, is a
+#: unit of something else.
+_MENTION_BEFORE = re.compile(r"counter ?value|contravalor|equivalent|equivalente|receipt|recibo|also in|también en|instead of|rather than|en lugar de|not in|no en|\bex\b", re.I)
+_MENTION_AFTER = re.compile(r"^\W*(?:as well\b(?! as)|too\b|equivalent|equivalente|también|también)", re.I)
+_TURNS = re.compile(r"\b(?:but|sino|mas sim|pero)\b", re.I)
+NEAR_WORDS = 4
+#: A feed's own description states units in sentences about its figures, or right after a word like "in"; parts about
+#: separators and legends, which explain several units, state none.
 PROFILE_LEADS = {"in", "in whole", "en", "em"}
+_ABOUT_FIGURES = re.compile(r"\b(?:figures?|amounts?|values?|numbers?|sums?|totals?|importes?|montos?|valor(?:es)?|cifras?|quantias?|números?)\b", re.I)
+_ABOUT_STYLE = re.compile(r"\b(?:commas?|dots?|points?|separators?|decimals?|digits?|coma|punto|ponto|vírgula|decimales|decimais)\b", re.I)
 _DECIMAL_COMMA = re.compile(r"comma\s+(?:before|as|for|marks?)\s+(?:the\s+)?decimal|decimal\s+comma|coma\s+decimal", re.I)
 
 GRAM = 2
@@ -67,7 +75,9 @@ GRAM = 2
 #: FUZZY_FROM must be met exactly (after folding letter case and accents), and in running text so must phrases shorter than
 #: FUZZY_TEXT_FROM.
 FUZZY_SHARE, FUZZY_FROM, FUZZY_TEXT_FROM = 0.18, 4, 6
-LONGEST_PHRASE = 4
+#: Digits in groups of three set off by blanks or apostrophes, or with any separators; then perhaps a power of ten.
+_FIGURE = r"(?:[0-9]{1,3}(?:[ \u00a0\u2009\u202f'’][0-9]{3})+(?![0-9])(?:[.,][0-9]+)?|[0-9]+(?:[.,'’][0-9]+)*|[.,][0-9]+)"
+_EXPONENT = r"(?:[eE][+-]?[0-9]{1,2}(?![0-9]))?"
 _KILO_MARK = "kilomark"
 _THOUSANDS_MARK = r"(?i)['’]\s?000s?\b|\(\s?000s?\s?\)|\b[x×]\s?1[.,]?000\b"
 
@@ -99,10 +109,16 @@ def lexicon() -> list[tuple[str, str | None, int | None]]:
     return [(alias, *meaning) for alias, meaning in out.items() if alias not in ("'000", "(000s)", "x1000")]
 
 
+@lru_cache(maxsize=1)
+def longest_phrase() -> int:
+    """Words of the longest alias, and one more for a word that was torn apart."""
+    return max(len(alias.split()) for alias, *_ in lexicon()) + 1
+
+
 def spelled(text: Column) -> Column:
     """The text with its figures replaced by `` # ``, except figures that mark thousands; outer blanks off."""
     marked = F.when(F.contains(text, F.lit("000")), F.regexp_replace(text, _THOUSANDS_MARK, f" {_KILO_MARK} ")).otherwise(text)
-    return X.strip(F.regexp_replace(marked, r"[0-9]+(?:[.,'’][0-9]+)*", " # "))
+    return X.strip(F.regexp_replace(marked, _FIGURE + _EXPONENT, " # "))
 
 
 _CLOSE = ".,;:()[]{}\"'!?-/"
@@ -160,14 +176,14 @@ def _split(spelling: str) -> list[str]:
 
 
 def _cut(spelling: str) -> list[tuple[int, int, str, str]]:
-    """(position, words, folded phrase, words before) of all phrases of up to LONGEST_PHRASE words."""
+    """(position, words, folded phrase, words before) of all phrases of up to :func:`longest_phrase` words."""
     words: list[str] = []
     for part in _split(spelling):
         bare = part.strip(_CLOSE)
         whole = part.strip("()[],;:\"'!?-/")  # keeps the full stop of "Rs."
         words.append(fold(whole if whole.endswith(".") and len(whole) <= 5 else bare))
     out = []
-    for i, size in product(range(len(words)), range(1, LONGEST_PHRASE + 1)):
+    for i, size in product(range(len(words)), range(1, longest_phrase() + 1)):
         run = words[i : i + size]
         if len(run) == size and all(run) and "#" not in run:
             out.append((i, size, " ".join(run), " ".join(words[max(0, i - 2) : i])))
@@ -186,7 +202,8 @@ def _edit_cost(phrase: pd.Series, alias: pd.Series) -> pd.Series:
 
 
 def phrase_aliases(phrases: DataFrame) -> DataFrame:
-    """(phrase, currency, power, exact) of the distinct phrases that are an alias, exactly or nearly.
+    """(phrase, currency, power, exact, like) of the distinct phrases that are an alias, exactly or nearly; ``like`` is the
+    number of words of an alias that is met nearly.
 
     Candidates are all that can be within the distance: they share as many n-grams with the alias as that leaves, or, where
     it may leave none, are about as long. The verification takes the alias with
@@ -194,7 +211,7 @@ def phrase_aliases(phrases: DataFrame) -> DataFrame:
     """
     spark = phrases.sparkSession
     words = literal(spark, [(*entry, _needed(entry[0])) for entry in lexicon()], "alias string, currency string, power int, needed int").withColumn("fuzzy", F.length("alias") >= FUZZY_FROM)
-    exact = phrases.join(F.broadcast(words), phrases["phrase"] == words["alias"]).select("phrase", "currency", "power", F.lit(True).alias("exact"))  # the lexicon has a fixed size
+    exact = phrases.join(F.broadcast(words), phrases["phrase"] == words["alias"]).select("phrase", "currency", "power", F.lit(True).alias("exact"), F.lit(0).alias("like"))  # the lexicon has a fixed size
     fuzzy = words.filter("fuzzy").select("alias", "currency", "power", "needed")
     index = fuzzy.filter("needed > 0").withColumn("gram", F.explode(_grams(F.col("alias"))))
     others = phrases.filter(F.length("phrase") >= FUZZY_FROM - 1).join(exact.select("phrase"), "phrase", "left_anti")
@@ -207,59 +224,103 @@ def phrase_aliases(phrases: DataFrame) -> DataFrame:
         near = near.unionByName(others.join(F.broadcast(fuzzy.filter("needed < 1")), of_length).select("phrase", "alias", "currency", "power"))
     costed = near.withColumn("cost", _edit_cost("phrase", "alias")).filter(F.col("cost") <= F.length("alias") * FUZZY_SHARE)
     best = costed.groupBy("phrase").agg(F.min(F.struct("cost", F.length("alias").alias("n"), "alias", "currency", "power")).alias("b"))
-    return exact.unionByName(best.select("phrase", "b.currency", "b.power", F.lit(False).alias("exact")))
+    return exact.unionByName(best.select("phrase", "b.currency", "b.power", F.lit(False).alias("exact"), F.size(F.split("b.alias", " ")).alias("like")))
 
 
-def _mentioned_only(words: list[str], stating: set[int]) -> set[int]:
+def _mentioned_only(words: list[str], units: list[tuple[int, int]]) -> set[int]:
     """Places of the words in the parts of a note, cut at ``;`` and ``,``, that only mention a unit.
 
-    A part that is nothing but units and figures (``stating``) goes with the part before it.
+    What decides is where the unit (place, words) stands: near behind "receipt", "not in" and the like, or right before "as
+    well". A part that is nothing but units and figures goes with the part before it.
     """
     out: set[int] = set()
+    stating = {i for at, size in units for i in range(at, at + size)}
     start, dropped = 0, False
     for i, word in enumerate(words):
         if i + 1 < len(words) and not word.endswith((";", ",")):
             continue
         part = range(start, i + 1)
-        dropped = bool(MENTIONS_ONLY.search(" ".join(words[start : i + 1]))) or dropped and all(j in stating or "#" in words[j] for j in part)
-        out |= set(part) if dropped else set()
+        bare = all(j in stating or "#" in words[j] for j in part)
+        own = [(at, size) for at, size in units if start <= at <= i]
+        mentioned = False
+        for at, size in own:
+            before = _TURNS.split(" ".join(words[max(start, at - NEAR_WORDS) : at]))[-1]
+            mentioned |= bool(_MENTION_BEFORE.search(before) or _MENTION_AFTER.search(" ".join(words[at + size : i + 1])))
+        if not own:
+            mentioned = bool(_MENTION_BEFORE.search(" ".join(words[start : i + 1])))
+        if own and mentioned and any(not _near(words, start, at, size, i) for at, size in own):
+            # a part that turns: "not in dollars but in euros" drops the one and keeps the other
+            out |= {j for at, size in own if _near(words, start, at, size, i) for j in range(at, at + size)}
+            dropped = False
+        else:
+            dropped = mentioned or dropped and bare
+            out |= set(part) if dropped else set()
         start = i + 1
     return out
 
 
+def _near(words: list[str], start: int, at: int, size: int, end: int) -> bool:
+    """Whether the unit at a place only is mentioned."""
+    before = _TURNS.split(" ".join(words[max(start, at - NEAR_WORDS) : at]))[-1]
+    return bool(_MENTION_BEFORE.search(before) or _MENTION_AFTER.search(" ".join(words[at + size : end + 1])))
+
+
+def _profile_parts(words: list[str]) -> tuple[list[int], set[int], set[int]]:
+    """For the words of a description: their sentence, the sentences about figures, and the words in parts about separators."""
+    sentence, number, style, start = [], 0, set(), 0
+    texts: dict[int, list[str]] = {}
+    for i, word in enumerate(words):
+        sentence.append(number)
+        texts.setdefault(number, []).append(word)
+        if word.endswith((",", ";", ":", ".", "!", "?")) or i + 1 == len(words):
+            if _ABOUT_STYLE.search(" ".join(words[start : i + 1])):
+                style |= set(range(start, i + 1))
+            start = i + 1
+        if word.endswith((";", ".", "!", "?")):
+            number += 1
+    return sentence, {n for n, own in texts.items() if _ABOUT_FIGURES.search(" ".join(own))}, style
+
+
 def _resolve(field: str, spelling: str, mentions: list[tuple]) -> tuple[str | None, int | None]:
     """Currency and power of ten that one spelling states: the first of each kind.
 
     Exact phrases claim their words before near ones do, longer ones before shorter ones: "k us dollar" is not a
-    misspelt "us dollar".
+    misspelt "us dollar". A near phrase with as many words as its alias, at least two, counts like an exact one: "canadain
+    dollar" is no plain "dollar".
     """
     words = _split(spelling)
-    taken: set[int] = set()
-    if field == "note" and MENTIONS_ONLY.search(spelling):
-        taken = _mentioned_only(words, {i for at, size, *_ in mentions for i in range(at, at + size)})
+    rank = lambda m: (not m[6] and not (m[1] >= 2 and m[7] == m[1]), -m[1], not m[6], m[0])
+    claimed: set[int] = set()
     kept = []
-    for at, size, phrase, lead, currency, power, exact in sorted(mentions, key=lambda m: (not m[6], -m[1], m[0])):
-        if taken & set(range(at, at + size)) or not exact and field in ("note", "profile") and len(phrase) < FUZZY_TEXT_FROM:
+    sentence, about, style = _profile_parts(words) if field == "profile" else ([], set(), set())
+    for at, size, phrase, lead, currency, power, exact, _ in sorted(mentions, key=rank):
+        if claimed & set(range(at, at + size)) or not exact and field in ("note", "profile") and len(phrase) < FUZZY_TEXT_FROM:
             continue
         if len(phrase) <= 2 and phrase in ("k", "m", "mm", "sr", "rs", "fr"):
             beside = at > 0 and words[at - 1].endswith("#") or at + size < len(words) and words[at + size].startswith("#")
             if not beside:
                 continue
-        if field == "profile" and lead.split(" ")[-1] not in PROFILE_LEADS and lead not in PROFILE_LEADS:
+        if field == "profile" and (at in style or sentence[at] not in about and lead.split(" ")[-1] not in PROFILE_LEADS and lead not in PROFILE_LEADS):
             continue
         if currency is None and power == 0 and field != "profile":
             continue
-        taken |= set(range(at, at + size))
-        kept.append((at, currency, power))
+        claimed |= set(range(at, at + size))
+        kept.append((at, size, currency, power))
     kept.sort()
-    return next((c for _, c, _ in kept if c is not None), None), next((p for _, _, p in kept if p is not None), None)
+    if field == "note" and kept:
+        only = _mentioned_only(words, [(at, size) for at, size, *_ in kept])
+        kept = [k for k in kept if k[0] not in only]
+    if field == "profile":  # a sentence that names several units of one kind explains them
+        several = lambda i, n: len({k[i] for k in kept if k[i] is not None and sentence[k[0]] == n}) > 1
+        kept = [(at, size, None if several(2, sentence[at]) else c, None if several(3, sentence[at]) else p) for at, size, c, p in kept]
+    return next((c for _, _, c, _ in kept if c is not None), None), next((p for *_, p in kept if p is not None), None)
 
 
 def _resolve_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for field, spelling, mentions in zip(batch["field"], batch["spelling"], batch["mentions"]):
-            found = [(m["at"], m["words"], m["phrase"], m["lead"], m["currency"], None if pd.isna(m["power"]) else int(m["power"]), m["exact"]) for m in mentions]
+            found = [(m["at"], m["words"], m["phrase"], m["lead"], m["currency"], None if pd.isna(m["power"]) else int(m["power"]), m["exact"], m["like"]) for m in mentions]
             rows.append((field, spelling, *_resolve(field, spelling, found)))
         out = pd.DataFrame(rows, columns=["field", "spelling", "currency", "power"])
         out["power"] = out["power"].astype("Int32")
@@ -270,26 +331,28 @@ def alias_dictionary(spellings: DataFrame) -> DataFrame:
     """(field, spelling, currency, power) for distinct (field, spelling); spellings that state nothing are absent."""
     cut = spellings.mapInPandas(_phrases, "field string, spelling string, at int, words int, phrase string, lead string")
     aliases = phrase_aliases(cut.select("phrase").distinct())
-    mentions = cut.join(aliases, "phrase").groupBy("field", "spelling").agg(F.collect_list(F.struct("at", "words", "phrase", "lead", "currency", "power", "exact")).alias("mentions"))
+    mentions = cut.join(aliases, "phrase").groupBy("field", "spelling").agg(F.collect_list(F.struct("at", "words", "phrase", "lead", "currency", "power", "exact", "like")).alias("mentions"))
     stated = mentions.mapInPandas(_resolve_groups, "field string, spelling string, currency string, power int")
     return stated.filter(F.col("currency").isNotNull() | F.col("power").isNotNull())
 
 
-_FIGURE = r"[0-9]+(?:[.,'’][0-9]+)*|[.,][0-9]+"
-
-
-_NEGATIVE = r"[-−–]\s*(?:[^\s0-9]{1,4}\s?)?[0-9.,]*[0-9]|[0-9]\s?[-−–]\s*(?:\D*)$|^\s*\(\D*[0-9][0-9.,'’]*\D*\)\s*$"
+_NEGATIVE = r"[-−–]\s*(?:[^\s0-9]{1,4}\s?)?[0-9.,]*[0-9]|[0-9]\s?[-−–]\s*(?:\D*)$|^\s*\(\D*[0-9][0-9.,'’    ]*\D*\)\s*$"
 
 
 def with_figure(df: DataFrame, text: str, decimal_comma: str, out: str) -> DataFrame:
-    """``df`` with ``out``: the first figure of ``text`` in plain form ("1234.5", ``-`` in front if marked negative), else NULL.
-
-    With both separators the last one starts the decimals. A separator that occurs once starts the decimals, unless it
-    is the grouping sign of the feed's style (``decimal_comma``) and sets off groups of three digits. Negative: a minus
-    before the figure or right behind it, or round brackets about all of it. The steps are columns of their own, so each
-    is computed once.
+    """``df`` with ``out``: the figure of ``text`` in plain form ("1234.5", ``-`` in front if marked negative), else NULL, and
+    ``out`` + ``_exponent``: the power of ten that it is given with, mostly 0.
+
+    Digits may be grouped by blanks, thin blanks, apostrophes, dots or commas. With both separators the last one starts the
+    decimals. A separator that occurs once starts the decimals, unless it is the grouping sign of the feed's style
+    (``decimal_comma``) and sets off groups of three digits. A text with digits beside its figure, marks for thousands apart,
+    has no figure: which one counts can't be told. Negative: a minus before the figure or right behind it, or round brackets
+    about all of it. The steps are columns of their own, so each is computed once.
     """
-    df = df.withColumn("_raw", F.regexp_replace(F.regexp_extract(F.regexp_replace(text, _THOUSANDS_MARK, " "), _FIGURE, 0), "['’]", ""))
+    df = df.withColumn("_bare", F.regexp_replace(text, _THOUSANDS_MARK, " "))
+    df = df.withColumn("_found", F.regexp_extract("_bare", _FIGURE + _EXPONENT, 0))
+    more = F.regexp_replace(F.substring("_bare", F.length("_found") + F.instr(F.col("_bare"), F.col("_found")), F.lit(1 << 30)), "[^0-9]", "")
+    df = df.withColumns({out + "_exponent": F.coalesce(F.regexp_extract("_found", "[eE]([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0)), "_raw": F.when(more == "", F.regexp_replace(F.regexp_replace("_found", "[eE].*", ""), "['’ \u00a0\u2009\u202f]", "")).otherwise("")})
     raw = F.col("_raw")
     df = df.withColumns({"_no_commas": F.replace(raw, F.lit(","), F.lit("")), "_no_dots": F.replace(raw, F.lit("."), F.lit(""))})
     no_commas, no_dots = F.col("_no_commas"), F.col("_no_dots")
@@ -305,7 +368,7 @@ def with_figure(df: DataFrame, text: str, decimal_comma: str, out: str) -> DataF
     )
     df = df.withColumn("_plain", plain)
     signed = F.when(F.col(text).rlike(_NEGATIVE), F.concat(F.lit("-"), F.col("_plain"))).otherwise(F.col("_plain"))
-    return df.withColumn(out, F.when(raw != "", signed)).drop("_raw", "_no_commas", "_no_dots", "_plain")
+    return df.withColumn(out, F.when(raw != "", signed)).drop("_bare", "_found", "_raw", "_no_commas", "_no_dots", "_plain")
 
 
 def utc_day(ts: Column) -> Column:
@@ -349,7 +412,8 @@ def to_common_units(raw: DataFrame, profiles: DataFrame, rates: DataFrame) -> Da
     ``raw`` has raw_id, feed, ts, amount_paid, payment_currency, note; extra columns are ignored. Currency and scale
     are each taken from the first of amount, currency field, note and feed description that states one; without a
     scale the figure counts whole units. Rows without a figure, without a known currency, or - but for US dollars -
-    without a rate on the UTC day of ``ts`` are left out, as are results beyond a bigint. Halves round away from zero.
+    without a rate on the UTC day of ``ts`` are left out, as are results beyond a bigint. Amounts count with up to 12 decimals
+    of a cent, rates with all of their digits. Halves round away from zero.
     Feeds that have no description or several use none or the first by text.
     """
     words = written(alias_dictionary(unit_spellings(raw, profiles)), "aliases")
@@ -368,13 +432,17 @@ def to_common_units(raw: DataFrame, profiles: DataFrame, rates: DataFrame) -> Da
         "figure",
         F.coalesce(*[f"{f}_currency" for f in order]).alias("currency"),
         F.coalesce(*[F.col(f"{f}_power") for f in order], F.lit(0)).alias("power"),
+        "figure_exponent",
     )
     dated = rates.groupBy(F.col("currency").alias("currency"), F.col("rate_day").try_cast("date").alias("day")).agg(F.max("rate").alias("rate"))
     rows = rows.join(broadcast_if_small(dated), ["currency", "day"], "left")
-    rate = F.when(F.col("currency") == "US Dollar", F.lit(1).cast("decimal(14,6)")).otherwise(F.col("rate").cast("decimal(14,6)"))
-    whole = F.concat("figure", F.lit("E"), (F.col("power") + 2).cast("string")).try_cast("decimal(30,12)")
-    cents = F.round(whole * rate).try_cast("bigint")
-    return rows.select("raw_id", cents.alias("usd_cents"), "currency", "power", "figure").filter(F.col("usd_cents").isNotNull())
+    rate = F.when(F.col("currency") == "US Dollar", F.lit(1).cast("decimal(18,6)")).otherwise(F.col("rate").cast("decimal(18,6)"))
+    # the whole and the broken part are multiplied apart, as one product of these would not keep all of its digits
+    rows = rows.withColumns({"_rate": rate, "_cents": F.concat("figure", F.lit("E"), (F.col("power") + F.col("figure_exponent") + 2).cast("string")).try_cast("decimal(38,12)")})
+    rows = rows.withColumn("_whole", F.expr("CAST(_cents - _cents % 1 AS DECIMAL(26,0))"))
+    product = F.try_add(F.try_multiply("_whole", "_rate").try_cast("decimal(25,6)"), F.expr("CAST(_cents % 1 AS DECIMAL(12,12)) * _rate"))
+    cents = F.round(product).try_cast("bigint")
+    return rows.select("raw_id", cents.alias("usd_cents"), "currency", (F.col("power") + F.col("figure_exponent")).alias("power"), "figure").filter(F.col("usd_cents").isNotNull())
 
 
 def unresolved(raw: DataFrame, converted: DataFrame) -> DataFrame:

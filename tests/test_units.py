@@ -170,3 +170,85 @@ def test_rounding_is_exact(spark, tables):
     raw = spark.createDataFrame([(1, "plain", DAY, "123456789012.345", "USD", None), (2, "plain", DAY, "0.005", "USD", None), (3, "plain", DAY, "-0.005", "USD", None), (4, "plain", DAY, "9" * 40, "USD", None)], RAW)
     out = {r["raw_id"]: r["usd_cents"] for r in units.to_common_units(raw, *tables).collect()}
     assert out == {1: int(Decimal("12345678901235")), 2: 1, 3: -1}
+
+
+#: Wordings that the operator's rules were not written from: currency field, note, description -> currency, power of ten.
+UNSEEN = [
+    ("Eruo", None, None, "Euro", 0),
+    ("U.S. Dollars", None, None, "US Dollar", 0),
+    ("Pounds Sterling", None, None, "UK Pound", 0),
+    ("Japanese Yenn", None, None, "Yen", 0),
+    ("swiss francs (thousands)", None, None, "Swiss Franc", 3),
+    ("Bitcoins", None, None, "Bitcoin", 0),
+    ("Canadain dollar", None, None, "Canadian Dollar", 0),
+    ("pesos mexicanos", None, None, "Mexican Peso", 0),
+    ("m EUR", None, None, "Euro", 6),
+    (None, "paid in euros as well as usual", None, "Euro", 0),
+    ("EUR", "amount in thousands, shown net of fees", None, "Euro", 3),
+    (None, "all sums in millions of yen", None, "Yen", 6),
+    ("EUR", "value stated in cents", None, "Euro", -2),
+    (None, "importe en miles de pesos mexicanos", None, "Mexican Peso", 3),
+    (None, "valor em milhares de reais", None, "Brazil Real", 3),
+    (None, "settled in Swiss francs", None, "Swiss Franc", 0),
+    (None, "receipt in yen, paid in euros", None, "Euro", 0),
+    (None, "not in dollars but in euros", None, "Euro", 0),
+    (None, "amount quoted in shekels", None, "Shekel", 0),
+    ("EUR", "the receipt mentions yen too", None, "Euro", 0),
+    ("USD", "equivalent in rupees on request", None, "US Dollar", 0),
+    ("EUR", "units of thousand, please", None, "Euro", 3),
+    (None, None, "Amounts: thousands of euros", "Euro", 3),
+    (None, None, "All figures thousands, EUR", "Euro", 3),
+    (None, None, "Values are expressed as cents of euro", "Euro", -2),
+    (None, None, "Importes en miles de dólares", "US Dollar", 3),
+    ("EUR", None, "All amounts in millions.", "Euro", 6),
+    (None, None, "Numbers are plain; amounts always in US dollars.", "US Dollar", 0),
+    (None, None, "Valores em centavos de real.", "Brazil Real", -2),
+    (None, None, "Amounts in yen, no decimals. Dots between thousands.", "Yen", 0),
+    ("EUR", None, "Figures use dots for thousands and a comma for decimals.", "Euro", 0),
+    ("EUR", None, "Marks in our figures: k is thousand, m is million.", "Euro", 0),
+    (None, None, "Las cifras van en millones de euros; los puntos separan miles.", "Euro", 6),
+    ("INR", None, "Totals are given in lakhs.", "Rupee", 5),
+]
+
+
+def test_unseen_wordings(spark, tables):
+    raw = spark.createDataFrame([(i, f"f{i}", DAY, "7", c, n) for i, (c, n, *_) in enumerate(UNSEEN)], RAW)
+    profiles = spark.createDataFrame([(f"f{i}", p) for i, (_, _, p, *_) in enumerate(UNSEEN)], "feed string, profile_note string")
+    every = sorted({w for *_, w, _ in UNSEEN} - {"US Dollar"})
+    rates = spark.createDataFrame([(c, "2022-09-02", "1.0") for c in every], "currency string, rate_day string, rate string").selectExpr("currency", "rate_day", "cast(rate as decimal(18,6)) rate")
+    out = {r["raw_id"]: (r["currency"], r["power"]) for r in units.to_common_units(raw, profiles, rates).collect()}
+    wrong = [(u, out.get(i)) for i, u in enumerate(UNSEEN) if out.get(i) != u[3:]]
+    right = len(UNSEEN) - len(wrong)
+    assert right >= 0.9 * len(UNSEEN), wrong
+
+
+@pytest.mark.parametrize(
+    ("text", "comma", "wanted"),
+    [
+        ("1 234,50", True, "1234.50E0"),
+        ("1 234 567", False, "1234567E0"),
+        ("1\u202f234\u202f567.25", False, "1234567.25E0"),
+        ("1'234'567.25", False, "1234567.25E0"),
+        ("1.5e3", False, "1.5E3"),
+        ("-2E-2 EUR", False, "-2E-2"),
+        ("12 EUR", False, "12E0"),
+        ("EUR 12 or 13", False, None),
+        ("5 12", False, None),
+        ("2022-09-01", False, None),
+        ("3 (000s)", False, "3E0"),
+        ("(1 234.5)", False, "-1234.5E0"),
+        ("", False, None),
+        (None, False, None),
+    ],
+)
+def test_figures(spark, text, comma, wanted):
+    df = spark.createDataFrame([(text, comma)], "t string, c boolean")
+    row = units.with_figure(df, "t", "c", "f").first()
+    assert (None if row["f"] is None else f"{row['f']}E{row['f_exponent']}") == wanted
+
+
+def test_large_rates_and_amounts_keep_all_digits(spark, tables):
+    rates = spark.createDataFrame([("Bitcoin", "2022-09-02", "999999999999.123456"), ("Yen", "2022-09-02", "0.000001")], "currency string, rate_day string, rate string").selectExpr("currency", "rate_day", "cast(rate as decimal(18,6)) rate")
+    raw = spark.createDataFrame([(1, "plain", DAY, "2", "BTC", None), (2, "plain", DAY, "1234567890123456789012", "JPY", None), (3, "plain", DAY, "0.00499999999999", "USD", None)], RAW)
+    out = {r["raw_id"]: r["usd_cents"] for r in units.to_common_units(raw, tables[0], rates).collect()}
+    assert out == {1: 199999999999825, 2: 123456789012345679, 3: 0}
