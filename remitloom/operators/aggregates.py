@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _first_of_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
+def first_rows(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The first row of every key. Spark limits each task's rows to one per key before they shuffle, so no key is hot."""
     first = F.expr(f"row_number() OVER (PARTITION BY {key} ORDER BY {', '.join(order)})")
     return rows.withColumn("_rank", first).filter("_rank = 1").drop("_rank")
@@ -19,7 +19,7 @@ def max_by_key(df: DataFrame, key: str | Column, value: str, carry: str, key_nam
     """
     rows = df.select((F.col(key) if isinstance(key, str) else key).alias(key_name), F.col(carry).alias("_c"), F.col(value).cast("double").alias("_v"))
     rows = rows.filter(f"{key_name} IS NOT NULL AND _v IS NOT NULL AND NOT isnan(_v)")
-    return _first_of_key(rows, key_name, "_v DESC", "_c").withColumnsRenamed({"_c": carry, "_v": value})
+    return first_rows(rows, key_name, "_v DESC", "_c").withColumnsRenamed({"_c": carry, "_v": value})
 
 
 def average_by_key(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -37,7 +37,7 @@ def first_per_key(df: DataFrame, key: str, value: str, arrival: str | None = Non
     rows = df.filter(F.col(key).isNotNull())
     if arrival is None:
         return rows.groupBy(key).agg(F.min(value).alias(value))
-    return _first_of_key(rows.select(F.col(key), F.col(value), F.col(arrival).alias("_at")), key, "_at", value).select(key, value)
+    return first_rows(rows.select(F.col(key), F.col(value), F.col(arrival).alias("_at")), key, "_at", value).select(key, value)
 
 
 def count_rows(df: DataFrame, name: str = "n") -> DataFrame:

@@ -11,7 +11,7 @@ from remitloom.functions import scalars as X
 from remitloom.operators import aggregates, dedup, filters, graph, hotkeys, joins, orphans, units
 from remitloom.params import DEFAULTS as P
 from remitloom.plans import questions as Q
-from remitloom.sources import derived, sinks
+from remitloom.sources import derived, envelopes, sinks
 from remitloom.sources import tables as S
 from remitloom.sources.shared import fresh_path, written
 from remitloom.streaming import flows
@@ -508,3 +508,116 @@ def _(spark, d):
 @query("p5_composite_full", _composite_sql("full"))
 def _(spark, d):
     return composite_orphans(spark, d, "full")
+
+
+# ---- clients, envelopes, rate sources, shards ----------------------------------------------------------------------------
+
+
+def deliveries(spark: SparkSession, d: str) -> DataFrame:
+    return S.table(spark, d, "message_deliveries")
+
+
+_ONCE = """once AS (SELECT *, lower(source_client_uuid) AS client FROM message_deliveries WHERE message_id IS NULL OR delivery_id IN (SELECT delivery_id FROM
+  (SELECT delivery_id, row_number() OVER (PARTITION BY lower(source_client_uuid), message_type, message_id ORDER BY delivered_at, delivery_id) AS rn FROM message_deliveries WHERE message_id IS NOT NULL) WHERE rn = 1))"""
+
+
+@query("t3_envelopes", f"WITH {_ONCE} SELECT client, message_type, message_id IS NULL AS without_id, count(*) AS n FROM once GROUP BY 1, 2, 3")
+def _(spark, d):
+    return aggregates.counts_by(envelopes.once_per_client(deliveries(spark, d)), "client", "message_type", F.col("message_id").isNull().alias("without_id"))
+
+
+@query("t3_stream_envelopes", SQL["t3_envelopes"])
+def _(spark, d):
+    """The same from a stream: copies within the watermark, which here spans the whole table, come once."""
+    stream = flows.table_stream(spark, d, "message_deliveries").selectExpr("lower(source_client_uuid) AS client", "message_type", "message_id", "CAST(delivered_at AS TIMESTAMP) AS at")
+    out = flows.run_available(flows.exactly_once(stream, "at", "3650 days", "client", "message_type", "message_id"))
+    return aggregates.counts_by(out, "client", "message_type", F.col("message_id").isNull().alias("without_id"))
+
+
+@query("t13_clients", f"""WITH {_ONCE}, p AS (SELECT client, CAST(json_extract(payload, '$.amount') AS DOUBLE) AS amount, json_extract_string(payload, '$.payment_currency') AS c FROM once)
+  SELECT client, count(*) AS messages, count(*) FILTER (c = 'US Dollar' AND amount > 0 AND amount < 50) AS small_transfers, max(amount) AS largest FROM p GROUP BY client""")
+def _(spark, d):
+    """Every client's own results: all grouping keys, and the repeats, are the client's."""
+    rows = envelopes.with_payload(envelopes.once_per_client(deliveries(spark, d)))
+    small = (F.col("data.payment_currency") == P.usd_name) & (F.col("data.amount") > P.small_above) & (F.col("data.amount") < P.small_below)
+    return rows.groupBy("client").agg(F.count(F.lit(1)).alias("messages"), F.count(F.when(small, 1)).alias("small_transfers"), F.max("data.amount").alias("largest"))
+
+
+@query("x15_envelopes", """SELECT delivery_id, message_type, message_id, json_extract_string(payload, '$.account_origin') AS account_origin, CAST(json_extract(payload, '$.amount') AS DOUBLE) AS amount FROM message_deliveries""")
+def _(spark, d):
+    """Envelopes to JSON in base64 and back, and their payloads read."""
+    columns = ["delivery_id", "message_type", "message_id", "payload"]
+    back = envelopes.unpacked(envelopes.packed(deliveries(spark, d), *columns), "delivery_id bigint, message_type int, message_id string, payload string")
+    return envelopes.with_payload(back).select("delivery_id", "message_type", "message_id", "data.account_origin", "data.amount")
+
+
+@query("s2_accounts_csv", "SELECT bank_id, bank_name, account_number FROM bank_accounts")
+def _(spark, d):
+    path = fresh_path(spark, "csv")
+    rows = accounts(spark, d).select(*[f.name for f in S.schemas.ACCOUNTS_CSV])
+    rows.write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"').csv(path)
+    return S.accounts_csv(spark, path).select("bank_id", "bank_name", "account_number")
+
+
+_STATIC_ROWS = "SELECT currency, rate_day, rate FROM conversion_rates_static"
+
+
+@query("s9_rates_json", f"WITH {_STATIC} {_STATIC_ROWS}")
+def _(spark, d):
+    import json
+
+    path = fresh_path(spark, "rates")
+    spark.createDataFrame([(json.dumps(derived.STATIC_RATES),)], "value string").coalesce(1).write.text(path)
+    return S.rates_json(spark, path)
+
+
+_LEVELS = {"Euro|USD|2022-09-01": "1.01", "Euro|2022-09-02": "1.02", "Euro": "1.03", "Yen": "0.007", "UK Pound|2022-09-01": "1.2"}
+
+
+@query("j5_rate_levels", """WITH r AS (SELECT trim(payment_currency) AS currency, replace(substr(ts, 1, 10), '/', '-') AS d FROM bank_transactions WHERE trim(payment_currency) IN ('Euro', 'Yen', 'UK Pound', 'US Dollar') AND ts IS NOT NULL)
+  SELECT currency, CASE currency WHEN 'US Dollar' THEN 1 WHEN 'Euro' THEN CASE d WHEN '2022-09-01' THEN 1.01 WHEN '2022-09-02' THEN 1.02 ELSE 1.03 END WHEN 'Yen' THEN 0.007
+    WHEN 'UK Pound' THEN CASE d WHEN '2022-09-01' THEN 1.2 END END::DOUBLE AS rate, count(*) AS n FROM r GROUP BY 1, 2""")
+def _(spark, d):
+    """All levels of the lookup: a rate of the day under either key, one for every day, and none."""
+    rows = tx(spark, d).filter("ts IS NOT NULL").select(X.strip(F.col("payment_currency")).alias("currency"), "ts").filter(F.col("currency").isin("Euro", "Yen", "UK Pound", "US Dollar"))
+    rated = joins.with_rate(rows, S.rates_from_mapping(spark, _LEVELS, builtin=False), "currency")
+    return aggregates.counts_by(rated, "currency", F.col("rate").cast("double").alias("rate"))
+
+
+@query("x11_quoted_rates", f"WITH {_STATIC} SELECT currency, rate_day, rate FROM conversion_rates WHERE trim(currency) NOT IN ('Bitcoin', 'Ruble', 'Saudi Riyal') UNION ALL {_STATIC_ROWS} WHERE currency IN ('Bitcoin', 'Ruble', 'Saudi Riyal')")
+def _(spark, d):
+    return S.provided_rates(rates(spark, d), S.rates_from_mapping(spark, derived.STATIC_RATES), "quoted")
+
+
+@query("x11_static_rates", SQL["s9_rates_json"])
+def _(spark, d):
+    return S.provided_rates(rates(spark, d), S.rates_from_mapping(spark, derived.STATIC_RATES), "static")
+
+
+@query("x13_stable_shard")
+def _(spark, d):
+    bank = X.bank_number(F.col("from_bank"))
+    return tx(spark, d).select(bank.alias("bank_id"), X.stable_shard(bank, 7).alias("shard")).distinct()
+
+
+@query("x14_digest_shard", "SELECT DISTINCT account_origin, CAST('0x' || substr(sha256(account_origin), 64, 1) AS INTEGER) AS shard FROM bank_transactions WHERE account_origin IS NOT NULL")
+def _(spark, d):
+    rows = tx(spark, d).select("account_origin").filter("account_origin IS NOT NULL").distinct()
+    return rows.select("account_origin", X.digest_shard(F.col("account_origin"), 16).cast("int").alias("shard"))
+
+
+@query("fa_result_counts", "SELECT * FROM (VALUES ('query_1', 19983), ('query_2', 1), ('query_3', 11), ('query_4', 2), ('query_5', 7)) AS t(query, n)")
+def _(spark, d):
+    """The five questions over a pattern with known answers; of the last its answer instead of its one row."""
+    results = Q.all_results(derived.pattern_transactions(spark), derived.pattern_accounts(spark), S.rates_from_mapping(spark, derived.STATIC_RATES))
+    results["query_4"] = graph.flatten_pairs(results["query_4"])
+    counted = [df.agg(F.lit(name).alias("query"), (F.sum("cantTrx") if name == "query_5" else F.count(F.lit(1))).alias("n")) for name, df in results.items()]
+    out = counted[0]
+    for one in counted[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+@query("fa_pair_middles", "SELECT 'SG_SOURCE' AS account_origin, 'SG_DEST' AS account_destination, 5 AS middles")
+def _(spark, d):
+    return Q.q4_pairs(derived.pattern_transactions(spark))

@@ -9,6 +9,7 @@ def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in fields])
 
 
+#: Columns of the input files in their order, and names and headings of the result files.
 #: The CSV repeats the heading "Account", so columns go by position.
 TRANSACTIONS_CSV = _schema(
     ("ts", T.StringType()),

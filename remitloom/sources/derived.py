@@ -55,3 +55,28 @@ def accounts(spark: SparkSession, folder: str) -> DataFrame:
     """One account per nation, without a name for the last one."""
     nations = table(spark, folder, "nation").filter(F.col("n_nationkey") != 24)
     return nations.selectExpr("n_name AS bank_name", "CAST(n_nationkey AS BIGINT) AS bank_id")
+
+
+def pattern_transactions(spark: SparkSession) -> DataFrame:
+    """20 000 transfers with a known answer to every question: five middles between SG_SOURCE and SG_DEST, seven tiny amounts,
+    eleven far below average, and filler in another month."""
+    kind = "CASE WHEN id < 10 THEN IF(id % 2 = 0, 'scatter', 'gather') WHEN id < 17 THEN 'tiny' WHEN id < 28 THEN 'low' ELSE 'filler' END"
+    number = "CASE WHEN id < 10 THEN id div 2 + 1 WHEN id < 17 THEN id - 9 WHEN id < 28 THEN id - 16 ELSE id - 27 END"
+    name = "CASE kind WHEN 'tiny' THEN concat('Q5_LOW_', lpad(n, 2, '0')) WHEN 'low' THEN concat('Q3_LOW_', lpad(n, 2, '0')) ELSE concat('DEDUP', lpad(n, 5, '0')) END"
+    amount = "CASE WHEN kind IN ('scatter', 'gather') THEN 100D WHEN kind = 'filler' THEN 1D"
+    return spark.range(20_000).selectExpr(f"{kind} AS kind", f"{number} AS n").selectExpr(
+        "CASE kind WHEN 'scatter' THEN '2022/09/01 00:00' WHEN 'gather' THEN '2022/09/01 00:01' WHEN 'tiny' THEN '2022/09/02 00:00' WHEN 'low' THEN '2022/09/06 00:00' ELSE concat('2022/10/', lpad(n % 28 + 1, 2, '0'), ' 00:00') END AS ts",
+        "'001' AS from_bank",
+        f"CASE kind WHEN 'scatter' THEN 'SG_SOURCE' WHEN 'gather' THEN concat('SG_MID_', n) ELSE concat({name}, 'O') END AS account_origin",
+        "'002' AS to_bank",
+        f"CASE kind WHEN 'scatter' THEN concat('SG_MID_', n) WHEN 'gather' THEN 'SG_DEST' ELSE concat({name}, 'D') END AS account_destination",
+        f"{amount} WHEN kind = 'tiny' THEN 100D ELSE 0.5D END AS amount_received",
+        "'US Dollar' AS receiving_currency",
+        f"{amount} ELSE 0.5D END AS amount_paid",
+        "'US Dollar' AS payment_currency",
+        "IF(kind = 'tiny' AND n % 2 = 0, 'Wire', 'ACH') AS payment_format",
+    )
+
+
+def pattern_accounts(spark: SparkSession) -> DataFrame:
+    return spark.sql("SELECT * FROM VALUES ('Bank Alpha', 1L), ('Bank Beta', 2L) AS t(bank_name, bank_id)")

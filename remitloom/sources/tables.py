@@ -13,6 +13,8 @@ from remitloom.functions import scalars as X
 from remitloom.sources.shared import literal
 
 
+#: In place of fields that are absent, so that a quoted empty text stays one.
+_NO_FIELD = "\x01absent"
 _SCHEMAS: dict[tuple, T.StructType] = {}
 
 
@@ -39,13 +41,13 @@ def transactions_csv(spark: SparkSession, path: str) -> DataFrame:
     A byte-order mark belongs to the heading, which is skipped. Text that is no number gives a NULL amount;
     rows that are too short give NULLs at their end.
     """
-    raw = spark.read.schema(schemas.TRANSACTIONS_CSV).option("header", True).option("enforceSchema", True).csv(path)
+    raw = spark.read.schema(schemas.TRANSACTIONS_CSV).option("header", True).option("enforceSchema", True).option("nullValue", _NO_FIELD).csv(path)
     return raw.select(*[X.number(F.col(c)).alias(c) if c.startswith("amount_") else F.col(c) for c in schemas.TRANSACTION_COLUMNS])
 
 
 def accounts_csv(spark: SparkSession, path: str) -> DataFrame:
     """Accounts from CSV with a heading; ``bank_id`` as bigint, NULL if it is no integer."""
-    raw = spark.read.schema(schemas.ACCOUNTS_CSV).option("header", True).option("enforceSchema", True).csv(path)
+    raw = spark.read.schema(schemas.ACCOUNTS_CSV).option("header", True).option("enforceSchema", True).option("nullValue", _NO_FIELD).csv(path)
     return raw.withColumn("bank_id", X.bank_number(F.col("bank_id")))
 
 
@@ -78,3 +80,17 @@ def rates_json(spark: SparkSession, path: str, builtin: bool = True) -> DataFram
     """Rates from a JSON object file with the keys of :func:`rates_from_mapping`."""
     text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # one small configuration file
     return rates_from_mapping(spark, json.loads(text), builtin)
+
+
+def provided_rates(quoted: DataFrame, static: DataFrame, provider: str = "quoted") -> DataFrame:
+    """(currency, rate_day, rate) of the chosen provider.
+
+    ``static`` takes the static table alone. ``quoted`` takes the quotes, and the static table for the currencies that no
+    quotes exist for; quotes for those are left out. Another name is an error.
+    """
+    if provider not in ("quoted", "static"):
+        raise ValueError(f"unknown provider: {provider}")
+    columns = ["currency", "rate_day", "rate"]
+    if provider == "static":
+        return static.select(*columns)
+    return quoted.filter(~X.is_static_only(F.col("currency"))).select(*columns).unionByName(static.filter(X.is_static_only(F.col("currency"))).select(*columns))

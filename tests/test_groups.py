@@ -32,8 +32,7 @@ def test_weighted_results(spark):
     rng = random.Random(2)
     data = [(1 if rng.random() < 0.6 else rng.randrange(2, 7), rng.choice([None, *map(float, range(9))])) for _ in range(700)] + [(9, None), (None, 1.0)]
     weighted = hotkeys.weighted_values(spark.createDataFrame(data, "k bigint, v double"), F.col("k"), F.col("v"))
-    shape = {r["key"]: r for r in hotkeys.distinct_and_mode(weighted).collect()}
-    middle = {r["key"]: r for r in hotkeys.percentiles(weighted, {"p50": 0.5, "p0": 0.0, "p100": 1.0}).collect()}
+    shape = middle = {r["key"]: r for r in hotkeys.profile(weighted, {"p50": 0.5, "p0": 0.0, "p100": 1.0}).collect()}
     for key in {k for k, _ in data if k is not None}:
         values = sorted(v for k, v in data if k == key and v is not None)
         assert shape[key]["n_rows"] == sum(k == key for k, _ in data) and shape[key]["n_distinct"] == len(set(values))
@@ -41,7 +40,8 @@ def test_weighted_results(spark):
             n, v = max((n, -v) for v, n in Counter(values).items())
             assert (shape[key]["mode"], shape[key]["mode_rows"]) == (-v, n)
             assert middle[key]["p50"] == values[math.ceil(len(values) / 2) - 1] and middle[key]["p0"] == values[0] and middle[key]["p100"] == values[-1]
-    assert shape[9]["mode"] is None and 9 not in middle and None not in shape
+    assert shape[9]["mode"] is None and shape[9]["p50"] is None and shape[9]["n_rows"] == 1 and None not in shape
+    assert hotkeys.profile(weighted.limit(0), {"p50": 0.5}).count() == 0
 
 
 def test_shares_in_whole_numbers(spark):

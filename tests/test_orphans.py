@@ -39,6 +39,21 @@ def test_masks(spark, match):
     assert sorted((r["row_key"], r["orphan_kind"]) for r in out.collect()) == brute(refs, targets, match)
 
 
+@pytest.mark.parametrize("match", ["simple", "partial", "full"])
+def test_hot_keys_of_several_fields(spark, match):
+    rng = random.Random(9)
+    pick = lambda: rng.choice([None, *"xxxxxxyz"])
+    day = lambda: T0 + timedelta(days=rng.randrange(10))
+    refs = [(i, rng.choice([None, day(), day()]), pick(), pick()) for i in range(300)]
+    targets = [(pick() or "x", pick() or "y", day(), rng.choice([None, day()])) for _ in range(6)] * 2
+    to = spark.createDataFrame(targets, TARGETS).withColumnsRenamed({"a": "ta", "b": "tb"})
+    both = orphans.find_all_orphans(spark.createDataFrame(refs, REFS), {"two": orphans.Reference(["a", "b"], to, match, ["ta", "tb"]), "one": orphans.Reference(["a"], to, match, ["ta"])}, task_rows=10)
+    found = both.collect()
+    assert sorted((r["row_key"], r["orphan_kind"]) for r in found if r["ref_field"] == "two") == brute(refs, targets, match)
+    single = [(k, at, a, a) for k, at, a, _ in refs]
+    assert sorted((r["row_key"], r["orphan_kind"]) for r in found if r["ref_field"] == "one") == brute(single, [(a, a, f, u) for a, _, f, u in targets], match)
+
+
 def test_edges_of_validity_and_clashing_columns(spark):
     refs = [(1, T0, "k", None), (2, T0 + timedelta(days=1), "k", None), (3, T0 - timedelta(days=1), "k", None), (4, T0, None, None)]
     target = spark.createDataFrame([("k", None, T0, T0 + timedelta(days=1))] * 2, TARGETS).withColumn("row_key", F.lit(5)).withColumn("there", F.lit(1))

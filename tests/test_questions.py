@@ -146,6 +146,42 @@ def test_the_large_fixture(spark):
     assert results["query_1"].distinct().count() == 19_983
 
 
+def test_hubs_are_cut_into_blocks(spark, rows, monkeypatch):
+    pairs = [(f"a{i}", "hub") for i in range(30)] + [("hub", f"b{i}") for i in range(25)] + [(f"a{i}", f"m{j}") for i in range(30) for j in range(4)] + [(f"m{j}", f"b{i}") for i in range(25) for j in range(4)]
+    wanted = rows(graph.scatter_gather_pairs(edges(spark, pairs)))
+    assert len(wanted) == 30 * 25 and {w[2] for w in wanted} == {5}
+    monkeypatch.setattr(graph, "BLOCK_EDGES", 7)
+    monkeypatch.setattr(graph, "TASK_PATHS", 100)
+    assert rows(graph.scatter_gather_pairs(edges(spark, pairs))) == wanted
+    first, second = (spark.createDataFrame(p, s) for p, s in (([(a, b) for a, b in pairs], "a string, middle string"), ([(a, b) for a, b in pairs], "middle string, b string")))
+    assert graph.two_hop_paths(first, second).count() == graph.two_hop_paths(first, second).distinct().count() == 30 * 25 * 5
+
+
+def test_clients_are_apart_and_absent_ids_stay(spark, rows):
+    from remitloom.sources import envelopes
+
+    schema = "delivery_id bigint, source_client_uuid string, message_type int, message_id string, payload string, delivered_at timestamp"
+    at = [f"2022-09-01 00:0{i}:00" for i in range(6)]
+    data = [(1, "A", 0, "7", '{"amount": 1.5}', at[2]), (2, "a", 0, "7", "{}", at[1]), (3, "b", 0, "7", None, at[0]), (4, "a", 1, "7", "[", at[0]), (5, "a", 0, None, "{}", at[0]), (6, "a", 0, None, "{}", at[0]), (7, "a", 0, "x:ACH", "{}", at[0]), (8, "a", 0, "x:ACH", "{}", at[0])]
+    df = spark.createDataFrame([(*r[:5], None) for r in data], schema).drop("delivered_at").join(spark.createDataFrame([(r[0], r[5]) for r in data], "delivery_id bigint, t string").selectExpr("delivery_id", "cast(t as timestamp) as delivered_at"), "delivery_id")
+    assert sorted(r["delivery_id"] for r in envelopes.once_per_client(df).collect()) == [2, 3, 4, 5, 6, 7]
+    read = {r["delivery_id"]: r["data"]["amount"] if r["data"] else None for r in envelopes.with_payload(df).collect()}
+    assert read[1] == 1.5 and {read[k] for k in (2, 3, 4)} == {None}
+    back = envelopes.unpacked(envelopes.packed(df, "delivery_id", "payload"), "delivery_id bigint, payload string")
+    assert rows(back) == rows(df.select("delivery_id", "payload"))
+    assert envelopes.once_per_client(df.limit(0)).count() == 0
+
+
+def test_rate_providers(spark, rows):
+    quoted = spark.createDataFrame([("Euro", "2022-09-01", "1.1"), ("Bitcoin", "2022-09-01", "5")], "currency string, rate_day string, rate string").selectExpr("currency", "rate_day", "cast(rate as decimal(18,6)) rate")
+    static = tables.rates_from_mapping(spark, {"Bitcoin|USD|2022-09-01": "7", "Euro": "2"}, builtin=False)
+    assert [r[0] for r in rows(tables.provided_rates(quoted, static))] == ["Bitcoin", "Euro"]
+    assert float(tables.provided_rates(quoted, static).filter("currency = 'Bitcoin'").first()["rate"]) == 7
+    assert rows(tables.provided_rates(quoted, static, "static")) == rows(static)
+    with pytest.raises(ValueError):
+        tables.provided_rates(quoted, static, "other")
+
+
 def test_other_parameters(spark):
     p = params.QueryParams(small_below=5.0, min_peers=1)
     assert Q.q1(tx(spark, {"amount_received": 4.0}, {"amount_received": 6.0}), p).count() == 1
