@@ -52,6 +52,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.fill_containers(table(spark, d, "documents"), specs), specs)
 
 
+@query("p6_attention")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind: how full containers are where half of the greatest attention cost is allowed, and how many break a capacity: none
+    but those with a single item that is too costly on its own."""
+    specs = table(spark, d, "container_specs")
+    filled = packing.fill_containers(table(spark, d, "documents"), specs, attention_share=0.5)
+    return packing.constraint_report(filled, specs, attention_share=0.5)
+
+
 @query("p7_mixture")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(mixing.sized_documents(table(spark, d, "documents")), table(spark, d, "mix_targets"))

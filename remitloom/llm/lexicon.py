@@ -77,7 +77,7 @@ MONTHS_AND_CURRENCIES = set(
 )
 #: Words of running text that the tokenizer's vocabulary lacks or that it has with a capital only: never part of a name.
 NO_NAME = set(
-    """a al algo alguien ambos ante antes así atención aunque aún bajo cada casi cierre como con contra copia cual cuando cuenta cuentas cuál de del desde después dice dos durante día días el ella ellas ellos en entre era es esa
+    """neither nor either nobody the and or of on in at to for from with by two three a al algo alguien ambos ante antes así atención aunque aún bajo cada casi cierre como con contra copia cual cuando cuenta cuentas cuál de del desde después dice dos durante día días el ella ellas ellos en entre era es esa
     ese eso esta estado estamos este esto están fue fueron ha había hablé habló han hasta hay hola hoy importe la las lo los luego línea lote mañana menos mensaje mensajes mes mi mientras mismo muy más nada ni ningún nos nosotros
     nuestra nuestro nunca o orden otra otro para pendiente pero plazo poco por porque pues quedan que quien quién referencia saldo se sea según ser si sido sin sobre solo son su sus sí también tampoco tarjeta te tiene tienen titular
     todo todos tras tres tu un una uno unos usted ya y às ao aos apenas após até cada caso cliente com como conta contas cópia da das de depois desde do dos durante e ela ele eles em entre era essa esse esta este está eu extrato fatura

@@ -8,6 +8,7 @@ phrases for persons and other mentions. No list has to know both words of a name
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +33,8 @@ _COMMA_NEXT = regex.compile(r",[ \u00a0](\p{L}\.|[\p{L}\p{M}]+(?:['’](?!s\b)\p
 #: Ends of words of running Spanish and Portuguese: such a word is no name where letter case tells nothing.
 _RUNNING = regex.compile(r"(?:ó|aron|ieron|aban?|ção|ções|ción|ciones|sión|mente|[ai]d[oa]s?|ando|[ie]ndo|aram|eram|avam?|i?dades?|ou|eu|iu|emos|amos|imos)$")
 _FIRM_SHORT = {"s.a.", "s.r.l.", "s.l.", "n.v.", "b.v.", "s.c.", "l.l.c.", "p.l.c."}
+#: What joins a name to the one before it.
+_JOINING = {" and ", " y ", " e ", " nor ", " ni ", " or ", " & ", " und ", " et "}
 #: Titles after which even an ordinary word with a capital is a name.
 _STRONG_TITLES = {"mr", "mrs", "ms", "dr", "dra", "sr", "sra", "srta", "herr", "frau", "prof"}
 _BEFORE_MENTION = regex.compile(r"(?<![^\W_])([\p{L}\p{M}]+|\p{L}\.)[ \u00a0_-]([\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)?)[ \u00a0]?[,(/|:][ \u00a0<(]*(?:(?:tel|phone|teléfono|telefone|mailto)[.: ]*)?$", regex.I)
@@ -48,8 +51,8 @@ class _Cases(dict):
 
 _CASES = _Cases()
 #: Whole words of one case, and from how many letters on they are a section of their own.
-_ONE_CASE = regex.compile(r"(?<![Ul])(?:U[U ]*|l[l ]*)(?![Ul])")
 _CAPITALS_FROM, _SMALL_FROM = 40, 200
+_ONE_CASE = re.compile(rf"(?<![Ul])(?:U[U ]{{{_CAPITALS_FROM - 1},}}|l[l ]{{{_SMALL_FROM - 1},}})(?![Ul])")
 
 
 def sections(text: str) -> tuple[list[int], list[bool]]:
@@ -61,7 +64,7 @@ def sections(text: str) -> tuple[list[int], list[bool]]:
     cases = text.translate(_CASES)
     cuts = {0}
     for m in _ONE_CASE.finditer(cases):
-        if m.end() - m.start() >= _CAPITALS_FROM and len(m.group()) - m.group().count(" ") >= (_CAPITALS_FROM if cases[m.start()] == "U" else _SMALL_FROM):
+        if len(m.group()) - m.group().count(" ") >= (_CAPITALS_FROM if cases[m.start()] == "U" else _SMALL_FROM):
             cuts |= {m.start(), m.end()}
     starts, mixed = sorted(cuts), []
     for start, end in zip(starts, [*starts[1:], len(text)]):
@@ -177,7 +180,7 @@ class Names:
         while piece and piece[0][2] == PARTICLE:
             piece = piece[1:]
         at_start = bool(piece) and self.begins(piece[0][0])
-        while len(piece) > 1 and piece[0][2] in (ORDINARY, PROPER) and not title and (at_start or piece[1][2] not in (UNKNOWN, FAMILY, INITIAL)) and not (piece[0][2] == PROPER and piece[1][2] in (UNKNOWN, FAMILY)):
+        while len(piece) > 1 and piece[0][2] in (ORDINARY, PROPER) and not title and (at_start or piece[1][2] not in (UNKNOWN, FAMILY)) and not (piece[0][2] == PROPER and piece[1][2] in (UNKNOWN, FAMILY)):
             piece = piece[1:]
         if len(piece) > 2 and at_start and not title and piece[0][2] == UNKNOWN and piece[1][2] == GIVEN and self.text[piece[0][1]] != "-":
             piece = piece[1:]  # a sentence that begins with an unknown word
@@ -222,6 +225,8 @@ class Names:
         kinds = "".join(c for _, _, c in given)
         if kinds in ("G", "GI", "GG", "I", "II"):
             return given[-1][1]
+        if kinds[0] == GIVEN and len(piece) == 1 and self.text[piece[0][0] - 1 : piece[0][0]] in ("", "\n"):
+            return given[0][1]  # alone at the start of a line; a sentence begins behind it
         if kinds == UNKNOWN and (strong or self.begins(piece[0][0])):
             return given[-1][1]
         return None
@@ -229,10 +234,20 @@ class Names:
     def by_capitals(self, start: int, end: int) -> Iterator[tuple[int, int]]:
         done = start
         for run in _RUN.finditer(self.text, start, end):
-            for piece, firm in self.segments(run.start(), run.end()):
+            a, b = run.span()
+            low = self.low[a:b]
+            if low.isalpha() and len(low) > 1:  # one word: it needs a title, a phrase or a comma
+                cls = word_class(low)
+                titled = a - 1 in self.title_at or a - 2 in self.title_at or a - 3 in self.title_at
+                if cls in (NEVER, FIRM, TITLE, PARTICLE) or cls not in (GIVEN, FAMILY) and not titled and self.text[b : b + 1] != ",":
+                    continue
+            for piece, firm in self.segments(a, b):
+                if firm and len(piece) > 2 and piece[0][2] == GIVEN and piece[1][2] in (UNKNOWN, FAMILY):
+                    piece, firm = piece[:2], False  # a name, and a firm's name right behind it
                 if piece[0][0] < done or firm:
                     continue
                 title, cue = self.before(piece[0][0])
+                cue = cue or self.text[done : piece[0][0]] in _JOINING
                 last = piece[-1][1]
                 piece = self.trimmed(piece, title)
                 if not piece:

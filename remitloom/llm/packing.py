@@ -115,3 +115,23 @@ def fill_report(assigned: DataFrame, specs: DataFrame) -> DataFrame:
     out = sums.groupBy("container_kind").agg(F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"))
     out = out.join(kinds, "container_kind")
     return out.select("container_kind", "capacity_tokens", "containers", "items", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"), F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("fewest"))
+
+
+def constraint_report(assigned: DataFrame, specs: DataFrame, docs_per_token: float = DOCS_PER_TOKEN, attention_share: float = 1.0) -> DataFrame:
+    """Per kind: containers, those full up to the attention cost of their smallest item, those with one item beyond it, and those
+    that break each of the three capacities with more than one item, of which there must be none."""
+    capacity = F.col("capacity_tokens")
+    kinds = specs.select("container_kind", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens")).filter(capacity >= 1).distinct()
+    cost = F.col("n_tokens").cast("double") * F.col("n_tokens")
+    sums = assigned.groupBy("container_kind", "container_id").agg(F.count(F.lit(1)).alias("items"), F.sum("n_tokens").alias("tokens"), F.sum(cost).alias("attention"), F.min(cost).alias("least"))
+    most = capacity.cast("double") * capacity * attention_share
+    shared = F.col("items") > 1
+    count = lambda c: F.count(F.when(c, 1))
+    return sums.join(kinds, "container_kind").groupBy("container_kind").agg(
+        F.count(F.lit(1)).alias("containers"),
+        count(F.col("attention") + F.col("least") > most).alias("bound_by_attention"),
+        count(~shared & (F.col("attention") > most)).alias("alone_beyond_attention"),
+        count(shared & (F.col("tokens") > capacity)).alias("over_tokens"),
+        count(shared & (F.col("items") > F.greatest(F.floor(capacity * docs_per_token), F.lit(1)))).alias("over_documents"),
+        count(shared & (F.col("attention") > most)).alias("over_attention"),
+    )

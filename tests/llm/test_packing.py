@@ -102,3 +102,12 @@ def test_counts(spark):
     assert tokens.count("<|endoftext|>") > 1
     df = spark.createDataFrame([(1, "hello world", 5)], "doc_id bigint, text string, n_tokens int")
     assert tokens.with_token_counts(df, ["doc_id"]).first()["n_tokens"] == 2
+
+
+def test_a_binding_attention_capacity(spark):
+    docs = spark.createDataFrame([(i, "word " * (5 + i % 23)) for i in range(300)], "doc_id bigint, text string")
+    specs = spark.createDataFrame([("k", 64)], "container_kind string, capacity_tokens int")
+    loose = packing.constraint_report(packing.fill_containers(docs, specs), specs).first()
+    tight = packing.constraint_report(packing.fill_containers(docs, specs, attention_share=0.2), specs, attention_share=0.2).first()
+    assert tight["containers"] > loose["containers"] and tight["bound_by_attention"] > 0
+    assert [r[c] for r in (loose, tight) for c in ("over_tokens", "over_documents", "over_attention")] == [0] * 6
