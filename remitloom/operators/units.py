@@ -349,10 +349,14 @@ def with_figure(df: DataFrame, text: str, decimal_comma: str, out: str) -> DataF
     has no figure: which one counts can't be told. Negative: a minus before the figure or right behind it, or round brackets
     about all of it. The steps are columns of their own, so each is computed once.
     """
-    df = df.withColumn("_bare", F.regexp_replace(text, _THOUSANDS_MARK, " "))
-    df = df.withColumn("_found", F.regexp_extract("_bare", _FIGURE + _EXPONENT, 0))
-    more = F.regexp_replace(F.substring("_bare", F.length("_found") + F.instr(F.col("_bare"), F.col("_found")), F.lit(1 << 30)), "[^0-9]", "")
-    df = df.withColumns({out + "_exponent": F.coalesce(F.regexp_extract("_found", "[eE]([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0)), "_raw": F.when(more == "", F.regexp_replace(F.regexp_replace("_found", "[eE].*", ""), "['’ \u00a0\u2009\u202f]", "")).otherwise("")})
+    bare = F.when(F.contains(text, F.lit("000")), F.regexp_replace(text, _THOUSANDS_MARK, " ")).otherwise(F.col(text))
+    df = df.withColumn("_bare", bare).withColumn("_found", F.regexp_extract("_bare", _FIGURE + _EXPONENT, 0))
+    digits = lambda c: F.length(c) - F.length(F.translate(c, "0123456789", ""))
+    figure = F.translate(F.upper("_found"), "'’ \u00a0\u2009\u202f", "")
+    df = df.withColumns({"_alone": digits(F.col("_bare")) == digits(F.col("_found")), "_figure": figure, "_ten": F.contains(figure, F.lit("E"))})
+    power = F.when(F.col("_ten"), F.substring_index("_figure", "E", -1).try_cast("int")).otherwise(F.lit(0))
+    mantissa = F.when(F.col("_ten"), F.substring_index("_figure", "E", 1)).otherwise(F.col("_figure"))
+    df = df.withColumns({out + "_exponent": F.coalesce(power, F.lit(0)), "_raw": F.when(F.col("_alone"), mantissa).otherwise("")})
     raw = F.col("_raw")
     df = df.withColumns({"_no_commas": F.replace(raw, F.lit(","), F.lit("")), "_no_dots": F.replace(raw, F.lit("."), F.lit(""))})
     no_commas, no_dots = F.col("_no_commas"), F.col("_no_dots")
@@ -368,7 +372,7 @@ def with_figure(df: DataFrame, text: str, decimal_comma: str, out: str) -> DataF
     )
     df = df.withColumn("_plain", plain)
     signed = F.when(F.col(text).rlike(_NEGATIVE), F.concat(F.lit("-"), F.col("_plain"))).otherwise(F.col("_plain"))
-    return df.withColumn(out, F.when(raw != "", signed)).drop("_bare", "_found", "_raw", "_no_commas", "_no_dots", "_plain")
+    return df.withColumn(out, F.when(raw != "", signed)).drop("_bare", "_found", "_alone", "_figure", "_ten", "_raw", "_no_commas", "_no_dots", "_plain")
 
 
 def utc_day(ts: Column) -> Column:
