@@ -172,7 +172,8 @@ def test_rounding_is_exact(spark, tables):
     assert out == {1: int(Decimal("12345678901235")), 2: 1, 3: -1}
 
 
-#: Wordings that the operator's rules were not written from: currency field, note, description -> currency, power of ten.
+#: Wordings that the test data lacks; about eight of them are ones that rules were made for. Currency field, note, description ->
+#: currency, power of ten.
 UNSEEN = [
     ("Eruo", None, None, "Euro", 0),
     ("U.S. Dollars", None, None, "US Dollar", 0),
